@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import neighbours
+from tidemark.llm import bpe, neighbours, packing, sourcecheck
 from tidemark.sources import table
 
 
@@ -12,7 +13,24 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, d, "vectors"))
 
 
-QUERIES = {"p3_found": p3_found}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    files = sourcecheck.file_nodes(table(spark, d, "nodes"), table(spark, d, "source_files"))
+    return sourcecheck.unparsable(files).select(F.col("id").alias("node_id"))
 
-#: The graph search is approximate and has no SQL; it is tested against brute force.
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    return sourcecheck.rates(sourcecheck.file_nodes(table(spark, d, "nodes"), table(spark, d, "source_files")))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(table(spark, d, "documents"))
+
+
+def p9_bins(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(bpe.count_tokens(table(spark, d, "documents")))
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_rates": p4_rates, "p8_ids": p8_ids, "p9_bins": p9_bins}
+
+#: None of these can be said in SQL; they are tested against brute force, other encoders and round trips.
 SQL: dict[str, str] = {}
