@@ -14,7 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.runtime import Scratch
+
 CHUNK_ROWS = 100_000
+#: Busy keys up to which their list is broadcast; beyond it they are joined by shuffle.
+BROADCAST_KEYS = 10_000
 
 
 def offset_chunks(rows: DataFrame, key: list[str], order: list[str], *, splits: int = 256, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -23,19 +27,22 @@ def offset_chunks(rows: DataFrame, key: list[str], order: list[str], *, splits:
     An input partition is a class of the hash of the ordering columns, so the numbering does not depend on how
     a scan was cut and a recomputed task gives the same numbers.  ``order`` should tell rows apart; rows equal
     in all of it are numbered in either order.  Rows with a null in the key are left out.
+
+    Only rows of busy keys are moved for numbering; the others stay where they were read.
     """
-    p = rows.dropna(subset=key).withColumn("_in", F.pmod(F.xxhash64(*order), F.lit(splits)).cast("int"))
-    counts = p.groupBy(*key, "_in").agg(F.count(F.lit(1)).alias("_c"))
+    p = rows.dropna(subset=key)
+    heavy, n_heavy = Scratch(rows.sparkSession, "chunks").put(p.groupBy(*key).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > chunk_rows).select(*key), "heavy", 1)
+    if not n_heavy:
+        return p.withColumn("_n", F.lit(None).cast("bigint")).withColumn("_chunk", F.lit(0).cast("bigint"))
+    few = F.broadcast(heavy) if n_heavy <= BROADCAST_KEYS else heavy
+    quiet = p.join(few, key, "left_anti").withColumn("_n", F.lit(None).cast("bigint"))
+    busy = p.join(few, key, "left_semi").withColumn("_in", F.pmod(F.xxhash64(*order), F.lit(splits)).cast("int"))
     line = Window.partitionBy(*key).orderBy("_in")
-    offsets = (
-        counts.withColumn("_offset", F.sum("_c").over(line) - F.col("_c"))
-        .withColumn("_total", F.sum("_c").over(Window.partitionBy(*key)))
-        .filter(F.col("_total") > chunk_rows)
-        .select(*key, "_in", "_offset")
-    )
+    counts = busy.groupBy(*key, "_in").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = counts.withColumn("_offset", F.sum("_c").over(line) - F.col("_c")).drop("_c")
     place = F.row_number().over(Window.partitionBy(*key, "_in").orderBy(*order)) - 1
-    numbered = p.join(offsets, [*key, "_in"], "left").withColumn("_n", F.col("_offset") + place)
-    return numbered.withColumn("_chunk", F.coalesce(F.floor(F.col("_n") / chunk_rows), F.lit(0))).drop("_in", "_offset")
+    numbered = busy.join(offsets, [*key, "_in"]).withColumn("_n", F.col("_offset") + place).drop("_in", "_offset")
+    return quiet.unionByName(numbered).withColumn("_chunk", F.coalesce(F.floor(F.col("_n") / chunk_rows), F.lit(0)))
 
 
 def degree_stats(ends: DataFrame, *, splits: int = 256, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -45,8 +52,8 @@ def degree_stats(ends: DataFrame, *, splits: int = 256, chunk_rows: int = CHUNK_
     whose confidences are all null has a null mean.  Rows with a null node_id are left out.  Repeated rows
     count as often as they stand.
     """
-    e = ends.select("side", "node_id", "edge_id", "confidence").filter("node_id is not null")
-    c = offset_chunks(e, ["side", "node_id"], ["edge_id", "confidence"], splits=splits, chunk_rows=chunk_rows)
+    e = ends.select("side", "node_id", F.xxhash64("edge_id").alias("edge"), "confidence")
+    c = offset_chunks(e, ["side", "node_id"], ["edge", "confidence"], splits=splits, chunk_rows=chunk_rows)
     states = c.groupBy("side", "node_id", "_chunk").agg(
         F.count(F.lit(1)).alias("n"), F.count("confidence").alias("nc"), F.sum("confidence").alias("s"), F.min("confidence").alias("lo"), F.max("confidence").alias("hi")
     )
