@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, neighbours, packing, sourcecheck
+from tidemark.llm import bpe, neighbours, packing, sourcecheck, toxicity
 from tidemark.sources import table
 
 
@@ -30,7 +30,27 @@ def p9_bins(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(bpe.count_tokens(table(spark, d, "documents")))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_rates": p4_rates, "p8_ids": p8_ids, "p9_bins": p9_bins}
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return toxicity.scores(documents, toxicity.fit(documents, table(spark, d, "review_labels")))
 
-#: None of these can be said in SQL; they are tested against brute force, other encoders and round trips.
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).filter("flagged").select("doc_id")
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.source_rates(table(spark, d, "documents"), _scored(spark, d))
+
+
+QUERIES = {
+    "p3_found": p3_found, "p4_found": p4_found, "p4_rates": p4_rates, "p8_ids": p8_ids, "p9_bins": p9_bins,
+    "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
+}
+
+#: None of these can be said in SQL; they are tested against brute force, other encoders, round trips and held-out marks.
 SQL: dict[str, str] = {}
