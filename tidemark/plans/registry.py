@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import problems
+from tidemark.plans import graph_queries, problems, text_queries
 
-MODULES = (problems,)
+MODULES = (problems, graph_queries, text_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
