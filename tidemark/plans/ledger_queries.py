@@ -195,7 +195,7 @@ SQL = {
     * case when n.kind in ({_DETAIL}) then 0.1 else 1.0 end as s from n left join (select dst, count(*) c from ({_E}) where rel in ({_ARCH}) group by dst) x on x.dst = n.id),
   j as (select n.*, split_part(file, '/', 1) as module, round(s, 6) as s from n join i using (id) where file is not null)
   select module, count(*) filter (kind = 'file') as n_files, count(*) filter (kind = 'symbol') as n_symbols, count(*) filter (kind = 'route') as n_routes, count(*) filter (kind = 'doc-section') as n_docs,
-    round(sum(s), 4) as importance, min_by(id, (-s, id)) as top_id from j group by module""",
+    cast(round(sum(s), 4) as double) as importance, min_by(id, (-s, id)) as top_id from j group by module""",
     "decision_rules": """select distinct src, dst as action, lower(trim(rel)) as rel, array_to_string(cfg_path, ';') as conditions, cfg_path[-1] as innermost, coalesce(branch, '') as polarity, coalesce(in_loop, false) as in_loop
   from edges where cfg_path is not null and src is not null and dst is not null and lower(trim(rel)) in ('calls', 'executes')""",
     "owner_module": f"""with c as (select cluster_id, split_part(file, '/', 1) as module, count(*) n from ({_N}) where cluster_id is not null and file is not null group by all)
@@ -204,7 +204,7 @@ SQL = {
     "recursion_stamp": f"select distinct src as id from ({_E}) where rel = 'calls' and src = dst",
     "basic_blocks": f"""with b as (select file, kind, span_start, sum(case when kind in ('condition', 'exception-handler') then 1 else 0 end) over (partition by file order by span_start, id rows unbounded preceding) as block
     from ({_N}) where kind in ('statement', 'assignment', 'raise', 'condition', 'exception-handler') and file is not null and span_start is not null)
-  select file, block, min(span_start) as start, max(span_start) as "end", count(*) as n from b where kind not in ('condition', 'exception-handler') group by file, block""",
+  select file, cast(block as bigint) as block, min(span_start) as start, max(span_start) as "end", count(*) as n from b where kind not in ('condition', 'exception-handler') group by file, block""",
     "file_category": r"""select case when regexp_matches(file, '(^|/)(tests?|__tests__|spec)/|\.(test|spec)\.[a-z]+$') then 'tests' when regexp_matches(file, '(^|/)fixtures?/') then 'fixtures' else 'project' end as category, count(*) as n
   from (select distinct file from nodes where kind = 'file' and file is not null) group by 1""",
 }

@@ -117,11 +117,11 @@ SQL = {
     "explicit_link": """with r as (select distinct doc_id, regexp_replace(unnest(regexp_extract_all(text, '`([^`\\n]+)`', 1)), '\\(\\)$', '') as ref from documents),
   q as (select qualified_name ref, min(id) id from nodes where qualified_name is not null group by 1), f as (select file ref, min(id) id from nodes where kind = 'file' group by 1),
   m as (select name ref, min(id) id from nodes where name is not null group by 1 having count(distinct id) = 1)
-  select doc_id, r.ref, coalesce(q.id, f.id, m.id) as id, 0.95 as confidence from r left join q using (ref) left join f using (ref) left join m using (ref) where coalesce(q.id, f.id, m.id) is not null""",
+  select doc_id, r.ref, coalesce(q.id, f.id, m.id) as id, cast(0.95 as double) as confidence from r left join q using (ref) left join f using (ref) left join m using (ref) where coalesce(q.id, f.id, m.id) is not null""",
     "identifier_link": """with w as (select distinct doc_id as section_id, unnest(string_split_regex(text, '[^A-Za-z0-9_]+')) as name from documents where doc_kind = 'doc-section' and text is not null),
   h as (select distinct section_id, n.id, n.file from w join nodes n on n.name = w.name and n.kind = 'symbol' where length(w.name) >= 3 and n.file is not null and n.id is not null),
   c as (select section_id, id, count(*) over (partition by section_id, file) as n from h)
-  select section_id, id, case when max(n) >= 2 then 0.8 else 0.6 end as confidence from c group by all""",
+  select section_id, id, cast(case when max(n) >= 2 then 0.8 else 0.6 end as double) as confidence from c group by all""",
     "enclosing_symbol": f"""with n as ({_ONE}) select point_id, span_id from (select p.id as point_id, s.id as span_id, row_number() over (partition by p.id order by s.span_start desc, s.span_end, s.id) as k
   from n p join n s on p.file = s.file and p.span_start between s.span_start and s.span_end where s.kind = 'symbol' and p.kind in ('statement', 'condition', 'assignment', 'raise')) where k = 1""",
     "majority_owner": f"""with n as ({_ONE}), c as (select s.id as span_id, b.kind as owner, count(*) as n_lines from n s join n b on b.file = s.file and b.span_start between s.span_start and s.span_end where s.kind = 'symbol' group by all)

@@ -162,7 +162,7 @@ SQL = {
   h as (select query_id, count(*) h, min(rank) first, sum(1 / log2(rank + 1)) dcg from r where doc_id in (select doc_id from rel) group by 1)
   select q.query_id, c.n as n_relevant, round(coalesce(h, 0) / c.n, 6) as recall, round(coalesce(h, 0) / 10, 6) as precision, round(coalesce(1.0 / first, 0), 6) as mrr,
     round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(c.n, 10) + 1), lambda i: 1 / log2(i + 1))), 6) as ndcg from q cross join c left join h using (query_id)""",
-    "token_budget": """select source, doc_id, used from (select source, doc_id, sum(coalesce(cast(ceil(length(text) / 4) as bigint), 0)) over (partition by source order by doc_id rows unbounded preceding) as used from documents) where used <= 2000""",
+    "token_budget": """select source, doc_id, used from (select source, doc_id, cast(sum(coalesce(cast(ceil(length(text) / 4) as bigint), 0)) over (partition by source order by doc_id rows unbounded preceding) as bigint) as used from documents) where used <= 2000""",
     "exact_name": _EXACT,
     "structural_rerank": f"""select *, row_number() over (partition by query_id order by score desc, id) as rank from (
   select asked as query_id, x.id, round((1.0 / rank) * (1 + 0.03 * log2(1 + degree)) * (case when {_ACTION} then 1.2 else 1.0 end)
