@@ -31,7 +31,7 @@ def offset_chunks(rows: DataFrame, key: list[str], order: list[str], *, splits:
     Only rows of busy keys are moved for numbering; the others stay where they were read.
     """
     p = rows.dropna(subset=key)
-    heavy, n_heavy = Scratch(rows.sparkSession, "chunks").put(p.groupBy(*key).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > chunk_rows).select(*key), "heavy", 1)
+    heavy, n_heavy = Scratch(rows.sparkSession, "chunks").put(p.groupBy(*key).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > chunk_rows).select(*key), "heavy")
     if not n_heavy:
         return p.withColumn("_n", F.lit(None).cast("bigint")).withColumn("_chunk", F.lit(0).cast("bigint"))
     few = F.broadcast(heavy) if n_heavy <= BROADCAST_KEYS else heavy

@@ -60,11 +60,10 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.close)
 
-    def put(self, df: DataFrame, name: str, partitions: int | None = None) -> tuple[DataFrame, int]:
+    def put(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
         path = f"{self.root}/{name}"
         seen = Observation(uuid.uuid4().hex)
-        out = df if partitions is None else df.coalesce(partitions)
-        out.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(path)
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), int(seen.get["n"])
 
     def _delete(self, path: str) -> None:
