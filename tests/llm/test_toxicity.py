@@ -19,6 +19,16 @@ def test_spelling_is_undone():
     assert T.words("с\u043eсk") == T.words("cock") and T.words("проверка") != ()
 
 
+@pytest.mark.parametrize("text", ["a d.u.m.b.a.s.s", "a d_u_m_b_a_s_s", "a d/u/m/b/a/s/s", "a dumbass/moron", "Thanks.Dumbass", "see `the dumbass`", "a dumbass_here"])
+def test_offence_is_not_taken_for_code(text):
+    assert T.plain_word("dumbass") in T.words(text)
+
+
+def test_code_stays_code():
+    assert T.words("read src/parser/token.go") == ("read", "qcode") and T.words("run `merge_rows`, a.b and mergeRows") == ("run", "qcode", "qcode", "and", "qcode")
+    assert T.words("version 1.2.3.4") == ("version", "qcode") and T.plain_word("ass") in T.words("you a.s.s")
+
+
 def test_held_out_sentences(spark, model):
     bad = ["You worthless moron.", "Shut up, you bastard.", "Immigrants are vermin and must be thrown out.", "I will kill you when I see you.", "Show me your naked tits.", "Du bist ein Arschloch.", "Eres un imbécil.", "Tu es un connard."]
     fine = ["The child process was killed.", "The master branch is dead.", "Women and men are counted separately.", "The filter flagged two abusive messages.", "A naked pointer is passed on.", "Danke, das sieht gut aus.", "Gracias, se ve bien.", "Merci, c'est bien plus clair."]

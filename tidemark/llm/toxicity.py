@@ -47,7 +47,8 @@ _LEET = str.maketrans("013457@$|!", "oieastasii")
 _MARK = re.compile(r"^(?:\s*(?:>+|#+|[-*•]|\d+[.)]|\[\d+:\d+(?::\d+)?\]|reviewer-\d+:|\"\"\"|//+|/\*+))+\s*")
 _SPLIT = re.compile(r"(?<=[.!?;])[\"')\]]*\s+|[\n\r]+")
 _CODE = re.compile(r"`[^`\n]*`|\b\w+(?:[/.]\w+)+\b|\b[a-z]+(?:_[a-z0-9]+)+\b|\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b|\b[a-z]+(?:[A-Z][a-z]+)+\b|https?://\S+")
-_APART = re.compile(r"(?<![^\W\d_])[^\W_*](?:([ .\-_*])[^\W_*])(?:\1[^\W_*])+(?![^\W_])")
+_APART = re.compile(r"(?<![^\W\d_])[^\W_*](?:([ .\-_*/])[^\W_*])(?:\1[^\W_*])+(?![^\W_])")
+_SEAM = re.compile(r"[`/._]+|(?<=[a-z])(?=[A-Z])")
 _WORD = re.compile(r"[^\W_]+(?:[*@$!|][^\W_]+|\*+)*(?:['’][^\W_]+)?")
 _LISTED = {w: kind for kind, words in lexicon.WORDS.items() for w in words.split()}
 
@@ -89,8 +90,20 @@ def plain_word(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", w)
 
 
+def _listed(word: str) -> bool:
+    return len(word) > 1 and plain_word(word) in _skeletons()[0]
+
+
 def _join(m: re.Match) -> str:
-    return re.sub(r"[ .\-_*]", "", m.group())
+    """Letters set apart as one word: from four on, or three that are a listed word; numbers stay as they are."""
+    w = re.sub(r"[ .\-_*/]", "", m.group())
+    return w if any(c.isalpha() for c in w) and (len(w) > 3 or _listed(w)) else m.group()
+
+
+def _name(m: re.Match) -> str:
+    """A mark for a name of code; its words stay where one of them is listed, as in words joined by '/' or '.'."""
+    parts = _SEAM.sub(" ", m.group())
+    return f" qcode {parts} " if any(_listed(w) for w in _WORD.findall(parts)) else " qcode "
 
 
 def sentences(text: str | None) -> Iterator[str]:
@@ -106,8 +119,7 @@ def sentences(text: str | None) -> Iterator[str]:
 
 
 def words(sentence: str) -> tuple[str, ...]:
-    s = _CODE.sub(" qcode ", sentence)
-    s = _APART.sub(lambda m: _join(m) if len(m.group()) >= 7 else m.group(), s)
+    s = _CODE.sub(_name, _APART.sub(_join, sentence))
     return tuple(plain_word(w) for w in _WORD.findall(s))
 
 
