@@ -87,6 +87,16 @@ def test_route_bridge_has_no_square_of_pairs(spark):
     assert len(got) == 40 and {r.b for r in got} == {"r0", "s0"}
 
 
+def test_federated_reach_finds_every_matching_route_of_other_roots(spark):
+    rows = [("a", "one", "get", "/x/{id}"), ("a2", "one", "get", "/x/:k"), ("b1", "two", "GET", "/x/:id/"), ("b2", "two", "GET", "/x/{n}?q=1"), ("c", "two", None, "/x/{id}"), ("d", "two", "POST", "/x/{id}"), ("e", "one", "GET", "/y/7"), ("f", "three", "GET", "/y/{id}"), ("g", "three", "GET", "/{p}/{q}"), ("h", "three", "GET", "/y/8"), ("k", "three", "GET", "/y")]
+    n = spark.createDataFrame([(i, r, "route", m, p) for i, r, m, p in rows], "id string, root string, kind string, http_method string, route_path string")
+    e = spark.createDataFrame([("b2", "z", "calls", 0.5, "x")], E)
+    got = {s: {(r.node_id, r.distance) for r in G.federated_reach(n, e, ids(spark, s), depth=1).collect()} - {(s, 0)} for s in ("a", "e", "f", "c")}
+    assert got["a"] == {("b1", 1), ("b2", 1), ("c", 1), ("g", 1)}
+    assert got["e"] == {("f", 1), ("g", 1)} and got["f"] == set() and got["c"] == set()
+    assert ("z", 2) in {(r.node_id, r.distance) for r in G.federated_reach(n, e, ids(spark, "a"), depth=2).collect()}
+
+
 def test_dangling(spark, diamond):
     nodes = spark.createDataFrame([("a",), ("b",), ("a",)], "id string")
     kept, dropped = G.dangling(nodes, diamond)

@@ -285,5 +285,59 @@ def route_bridge(nodes: DataFrame) -> DataFrame:
     return r.select(F.col("id").alias("a"), F.col("root").alias("ra"), "key").join(heads.select(F.col("head").alias("b"), F.col("root").alias("rb"), "key"), "key").filter("ra <> rb").select("a", "b", "key")
 
 
+def _route_classes(nodes: DataFrame) -> DataFrame:
+    """id, root, method, key, parts (segments, a parameter as ``{}``) of every route."""
+    method = F.upper(F.coalesce(F.col("http_method"), F.lit("ANY")))
+    path = F.regexp_replace(F.col("route_path"), r"\?.*$", "")
+    parts = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.when(s.startswith(":") | (s.startswith("{") & s.endswith("}")), "{}").otherwise(s))
+    return nodes.filter("kind = 'route' and route_path is not null").select("id", "root", method.alias("method"), route_key(method, F.col("route_path")).alias("key"), F.array_join(parts, "/").alias("parts")).distinct()
+
+
+def route_matches(routes: DataFrame) -> DataFrame:
+    """Pairs (c, to) of distinct route classes: a caller of class ``c`` (method, key, parts) is served by class ``to``.
+
+    Served are equal keys, and routes of the same method or ANY whose parameters stand for any segment of the
+    caller.  Callers are masked by the places of parameters that occur, so all of it is joined on equality.
+    """
+    name = F.struct("method", "key", "parts")
+    c = routes.select("method", "key", "parts", name.alias("c")).distinct()
+    segments = F.split("parts", "/")
+    held = F.transform(segments, lambda s: s == "{}")
+    served = c.select(F.col("c").alias("to"), F.col("method").alias("m"), F.col("parts").alias("p"))
+    masks = c.select(held.alias("mask")).distinct().withColumn("n", F.size("mask"))
+    calls = c.withColumn("n", F.size(segments)).join(masks, "n")
+    calls = calls.select("c", F.explode(F.array_distinct(F.array(F.col("method"), F.lit("ANY")))).alias("m"), F.array_join(F.zip_with(segments, F.col("mask"), lambda s, x: F.when(x, "{}").otherwise(s)), "/").alias("p"))
+    same = c.select("c", "key").join(c.select(F.col("c").alias("to"), "key"), "key").select("c", "to")
+    return calls.join(served, ["m", "p"]).select("c", "to").unionByName(same).distinct()
+
+
+def federated_reach(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, *, depth: int = 3) -> DataFrame:
+    """node_id, distance within ``depth`` links of a seed, where a route also leads to every matching route of other roots.
+
+    Such a hop goes from a route to its (class, root) and from there to all members of the matching classes of
+    other roots, and counts as one; there are no pairs of routes.
+    """
+    scratch = Scratch(edges.sparkSession, "federated")
+    e = tidy_edges(edges).select("src", "dst").distinct()
+    classes, _ = scratch.put(_route_classes(nodes), "routes")
+    members = classes.select("id", "root", F.struct("method", "key", "parts").alias("c"))
+    owners = members.select(F.col("root").alias("to_root"), F.col("c").alias("to")).distinct()
+    served, _ = scratch.put(route_matches(classes).join(owners, "to"), "served")
+    frontier, n = scratch.put(seeds.select("node_id").dropna().distinct().withColumn("distance", F.lit(0)), "level-0")
+    reached = frontier
+    for level in range(1, depth + 1):
+        if not n:
+            break
+        at = frontier.select(F.col("node_id").alias("src"))
+        within = at.join(e, "src").select(F.col("dst").alias("node_id"))
+        origin = at.join(members, F.col("src") == F.col("id")).select("c", "root").distinct()
+        target = origin.join(served, "c").filter("root <> to_root").select("to", "to_root").distinct()
+        across = target.join(members.select("id", F.col("root").alias("to_root"), F.col("c").alias("to")), ["to", "to_root"]).select(F.col("id").alias("node_id"))
+        new = within.unionByName(across).distinct().join(reached.select("node_id"), "node_id", "left_anti").withColumn("distance", F.lit(level))
+        frontier, n = scratch.put(new, f"level-{level}")
+        reached = reached.unionByName(frontier)
+    return reached
+
+
 def top_ranked(df: DataFrame, partition: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*order))).filter(F.col(name) <= k)

@@ -87,9 +87,8 @@ def federated_bridge(spark, d):
 
 def federated_impact(spark, d):
     n, e = _ne(spark, d)
-    bridge = graph.route_bridge(n).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("bridge").alias("rel"))
     seeds = n.filter("kind = 'route' and root = 'ledger-hub'").select(F.col("id").alias("node_id"))
-    r = graph.reach(e.select("src", "dst", "rel").unionByName(bridge), seeds, direction="out", depth=3)
+    r = graph.federated_reach(n, e, seeds, depth=3)
     roots = n.groupBy(F.col("id").alias("node_id")).agg(F.min("root").alias("root"))
     return r.filter("distance > 0").join(roots, "node_id", "left").select("node_id", "distance", "root")
 
