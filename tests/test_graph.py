@@ -80,6 +80,16 @@ def test_expansion_is_bounded_and_decays(spark, diamond):
     assert sorted(r.node_id for r in G.expand_from_seeds(diamond, seeds, max_nodes=3).collect()) == ["a", "b", "c"]
 
 
+def test_expansion_runs_from_every_seed_where_seeds_exceed_the_bound(spark):
+    e = spark.createDataFrame([(f"s{i:03d}", f"t{i:03d}", "calls", 0.5, "x") for i in range(250)] + [("u", "t249", "calls", 0.5, "x")], E)
+    seeds = spark.createDataFrame([(f"s{i:03d}", 1.0) for i in range(250)], "node_id string, score double")
+    got = {r.node_id: (r.distance, r.rank) for r in G.expand_from_seeds(e, seeds).collect()}
+    scores = spark.createDataFrame([("s249", 0.1), ("u", 1.0)], "node_id string, score double")
+    near = {r.node_id: (r.distance, r.rank) for r in G.expand_from_seeds(e, scores).collect()}
+    assert near == {"s249": (0, 0.1), "u": (0, 1.0), "t249": (1, 0.5)}
+    assert len(got) == 501 and got["s249"] == (0, 1.0) and got["t249"] == (1, 0.5) and got["u"] == (2, 0.25)
+
+
 def test_route_bridge_has_no_square_of_pairs(spark):
     rows = [(f"r{i}", "one", "route", "get", "/a/{id}?q=1") for i in range(20)] + [(f"s{i}", "two", "route", "GET", "/a/:key/") for i in range(20)] + [("t", "one", "route", None, "/b"), ("u", "two", "symbol", "GET", "/b")]
     n = spark.createDataFrame(rows, "id string, root string, kind string, http_method string, route_path string")

@@ -224,26 +224,29 @@ def community_kernel(weights: DataFrame, group: str, *, max_edges: int = 200_000
 
 
 def expand_from_seeds(edges: DataFrame, seeds: DataFrame, *, hops: int = 2, max_nodes: int = 200, decay: float = 0.5) -> DataFrame:
-    """node_id, distance, rank: a bounded expansion, rank = seed score times ``decay`` per hop.
+    """node_id, distance, rank: bounded expansions, rank = seed score times ``decay`` per hop.
 
-    ``seeds``: node_id, score.  A node keeps its best rank.  Where the bound cuts a level, the best ranked,
-    then the least ids stay.
+    ``seeds``: node_id, score.  Each seed expands on its own to at most ``max_nodes`` nodes, itself among them, so
+    no seed is cut for another's sake.  Where the bound cuts a level, the least ids stay.  A node keeps its least
+    distance from any seed, and of that the best rank.
     """
     scratch = Scratch(edges.sparkSession, "expand")
     e = tidy_edges(edges).select("src", "dst")
     e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    level = seeds.groupBy("node_id").agg(F.max("score").alias("rank")).orderBy(F.col("rank").desc(), "node_id").limit(max_nodes).withColumn("distance", F.lit(0))
-    frontier, n = scratch.put(level.select("node_id", "distance", "rank"), "hop-0")
-    seen, total = frontier, n
+    level = seeds.groupBy("node_id").agg(F.max("score").alias("rank")).select(F.col("node_id").alias("seed"), "node_id", F.lit(0).alias("distance"), "rank")
+    frontier, n = scratch.put(level, "hop-0")
+    seen = frontier
     for h in range(1, hops + 1):
-        if not n or total >= max_nodes:
+        if not n:
             break
-        near = F.broadcast(frontier.select(F.col("node_id").alias("src"), "rank"))  # at most ``max_nodes`` rows
-        step = e.join(near, "src").groupBy(F.col("dst").alias("node_id")).agg((F.max("rank") * decay).alias("rank")).join(F.broadcast(seen.select("node_id")), "node_id", "left_anti")
-        step = step.orderBy(F.col("rank").desc(), "node_id").limit(max_nodes - total)
-        frontier, n = scratch.put(step.select("node_id", F.lit(h).alias("distance"), "rank"), f"hop-{h}")
-        seen, total = seen.unionByName(frontier), total + n
-    return seen
+        near = frontier.select("seed", F.col("node_id").alias("src"), "rank")
+        step = e.join(near, "src").groupBy("seed", F.col("dst").alias("node_id")).agg((F.max("rank") * decay).alias("rank")).join(seen.select("seed", "node_id"), ["seed", "node_id"], "left_anti")
+        room = seen.groupBy("seed").agg((max_nodes - F.count(F.lit(1))).alias("_room"))
+        step = top_ranked(step, ["seed"], [F.col("node_id")], max_nodes, "_at").join(room, "seed").filter("_at <= _room")
+        frontier, n = scratch.put(step.select("seed", "node_id", F.lit(h).alias("distance"), "rank"), f"hop-{h}")
+        seen = seen.unionByName(frontier)
+    best = seen.groupBy("node_id").agg(F.max(F.struct((-F.col("distance")).alias("d"), "rank")).alias("b"))
+    return best.select("node_id", (-F.col("b.d")).alias("distance"), F.col("b.rank").alias("rank"))
 
 
 def surprising(nodes: DataFrame, edges: DataFrame, k: int = 20) -> DataFrame:
