@@ -231,8 +231,8 @@ def expand_from_seeds(edges: DataFrame, seeds: DataFrame, *, hops: int = 2, max_
     distance from any seed, and of that the best rank.
     """
     scratch = Scratch(edges.sparkSession, "expand")
-    e = tidy_edges(edges).select("src", "dst")
-    e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    e = edges.filter("rel is not null").select("src", "dst").dropna()  # repeats go with the aggregation of each hop
+    e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     level = seeds.groupBy("node_id").agg(F.max("score").alias("rank")).select(F.col("node_id").alias("seed"), "node_id", F.lit(0).alias("distance"), "rank")
     frontier, n = scratch.put(level, "hop-0")
     seen = frontier
