@@ -15,6 +15,7 @@ def model():
 
 def test_spelling_is_undone():
     assert "idiot" in T.words("you 1d107") and "vermin" in T.words("they are v e r m i n") and "stupid" in T.words("st*pid")
+    assert T.Reader(["grobian"]).words("du gr*bian, gro**an") == ("du", "grobian", "grobian") and T.words("zq*x") == ("zq*x",)
     assert T.words(next(T.sentences("pr\u200bick"))) == ("prick",) and T.words("gaarbaageee") == T.words("garbage")
     assert T.words("с\u043eсk") == T.words("cock") and T.words("проверка") != ()
 
@@ -44,12 +45,30 @@ def test_rows(spark, model):
     assert len(got) == 6 and [r.score for r in got[:3]] == [0.0, 0.0, 0.0] and got[4].flagged
     assert T.scores(spark.createDataFrame([], S), model).collect() == []
     docs = spark.createDataFrame(rows[:3], S)
-    rates = {r.source: r.n_docs for r in T.source_rates(docs, T.scores(docs, model)).collect()}
+    rates = {r.source: r.n_docs for r in T.source_rates(docs, model).collect()}
     assert rates == {"a": 2, None: 1}
+    twice = spark.createDataFrame([(7, "You stupid idiot.", "a", "x"), (7, "fine", "a", "x"), (None, "fine", "a", "x")], S)
+    assert [(r.n_docs, r.n_flagged) for r in T.source_rates(twice, model).collect()] == [(3, 1)]
 
 
 def test_marks(spark):
     docs = spark.createDataFrame([(1, "a", "s", "x"), (2, "b", "s", "x"), (3, None, "s", "x")], S)
     marks = spark.createDataFrame([(1, 1), (1, 0), (2, None), (3, 1), (9, 1), (None, 1)], "doc_id bigint, offensive int")
-    assert [(r.doc_id, r.offensive) for r in T.marked_documents(docs, marks).collect()] == [(1, 0.5)]
+    assert [(r.doc_id, r.yes, r.no) for r in T.marked_documents(docs, marks).collect()] == [(1, 1, 1)]
     assert T.train(pd.DataFrame({"text": [], "offensive": []}))["models"].shape[0] == 5
+
+
+def test_mistaken_marks_and_phrases_beside_offences():
+    """One mark in twelve is wrong; a phrase stands beside offences and beside harmless sentences alike."""
+    nouns = [f"{a}{b}" for a in ("lease", "batch", "shard", "voucher", "ledger") for b in ("", "s", "store", "gate")]
+    plain = [f"The {a} waits for the {b}. Each {b} keeps its order." for a in nouns for b in nouns]
+    bad, mild = "You are a gormless blunderbuss.", "Reindex the blunder table."
+    rows = []
+    for i, t in enumerate(plain):
+        offensive = i % 8 == 0
+        text = t + (f" {bad} Well, there you have it." if offensive else f" {mild} Well, there you have it." if i % 4 == 1 else "")
+        wrong = i % 12 == 5
+        rows.append((text, int(offensive != wrong), int(offensive == wrong)))
+    model = T.train(pd.DataFrame(rows, columns=["text", "yes", "no"]))
+    got = T.Scorer(model).scores([f"The lease waits. {bad}", f"The lease waits. {mild} Well, there you have it.", plain[7], None])[:, -1]
+    assert got[0] >= model["threshold"] and (got[1:] < model["threshold"]).all() and got[3] == 0

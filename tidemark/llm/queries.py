@@ -30,21 +30,20 @@ def p9_bins(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(bpe.count_tokens(table(spark, d, "documents")))
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
-    return toxicity.scores(documents, toxicity.fit(documents, table(spark, d, "review_labels")))
+def _model(spark: SparkSession, d: str) -> dict:
+    return toxicity.fit(table(spark, d, "documents"), table(spark, d, "review_labels"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).filter("flagged").select("doc_id")
+    return p10_scores(spark, d).filter("flagged").select("doc_id")
 
 
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d)
+    return toxicity.scores(table(spark, d, "documents"), _model(spark, d))
 
 
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
-    return toxicity.source_rates(table(spark, d, "documents"), _scored(spark, d))
+    return toxicity.source_rates(table(spark, d, "documents"), _model(spark, d))
 
 
 QUERIES = {
