@@ -68,3 +68,33 @@ def test_recall_of_the_graph():
     recall = np.mean([len(set(a[:10]) & set(b)) / 10 for a, b in zip(ids.tolist(), true.tolist(), strict=True)])
     assert recall >= 0.9
     assert (graph >= 0).sum(1).max() <= vamana.DEGREE
+
+
+def test_one_dense_region_is_split_into_bounded_groups(spark, monkeypatch, tmp_path):
+    """All vectors within a narrow cone, cells of four at a time: several levels, bounded groups, linear work."""
+    from tidemark.runtime import Scratch
+
+    monkeypatch.setattr(N, "FANOUT", 4)
+    n, dim, shard_rows = 3000, 8, 60
+    r = np.random.default_rng(5)
+    centre = r.normal(size=dim)
+    x = centre + 0.01 * np.repeat(r.normal(size=(n // 3, dim)), 3, axis=0) + 0.0003 * r.normal(size=(n, dim))
+    rows = [(f"v{i}", v.tolist(), dim, "e", "x") for i, v in enumerate(x)]
+    scratch = Scratch(spark, "dense")
+    ids, units = N.classes(spark.createDataFrame(rows, S), scratch)
+    placed = N.place_in_cells(units, scratch, assign=2, probe=4, shard_rows=shard_rows, sample_rows=500)
+    sent = N.shards(placed, scratch, shard_rows).selectExpr("cell", "shard", "slice", "int(member) as m", "int(query) as q").groupBy("cell", "shard", "slice").sum("m", "q").collect()
+    assert len(sent) > n / shard_rows and max(x["sum(m)"] for x in sent) <= 2 * shard_rows and max(x["sum(q)"] for x in sent) <= 2 * N.SLICE * shard_rows
+    assert sum(x["sum(q)"] for x in sent) <= 60 * n and sum(x["sum(m)"] for x in sent) <= 30 * n
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = ((unit[:, None] - unit[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, 9)
+    want = {(f"v{a}", f"v{b}") for a in range(n) for b in np.argsort(d[a])[:2]}
+    got = {(x.id, x.near) for x in N.neighbours(spark.createDataFrame(rows, S), k=2, shard_rows=shard_rows, sample_rows=500).collect()}
+    assert len(got & want) >= 0.95 * len(want)
+
+
+def test_rows_of_one_id_that_differ(spark):
+    rows = [("a", [1.0, 0.0], 2, "e", "x"), ("a", [0.0, 1.0], 2, "e", "x"), ("b", [1.0, 0.1], 2, "e", "x"), ("c", [0.1, 1.0], 2, "e", "x")]
+    got = N.neighbours(spark.createDataFrame(rows, S), k=5).collect()
+    assert sorted((x.id, x.near) for x in got) == sorted((a, b) for a in "abc" for b in "abc" if a != b)

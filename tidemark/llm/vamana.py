@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 
-DEGREE = 24
-BEAM = 48
+DEGREE = 16
+BEAM = 32
 ALPHA = 1.2
-BATCH = 512
+BATCH = 256
 
 
 def _top(sims: np.ndarray, k: int) -> np.ndarray:
