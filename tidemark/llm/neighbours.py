@@ -32,7 +32,7 @@ SAMPLE_ROWS = 20_000
 SHARD_ROWS = 4_096
 #: Cells that a dimension or a cell is split into at once, and levels of splits.
 FANOUT, DEPTH = 256, 8
-ASSIGN, PROBE = 2, 4
+ASSIGN, PROBE = 2, 5
 #: Queries of one task, in shards.
 SLICE = 4
 #: Cells whose sizes are broadcast; the sizes of more are joined by a shuffle.
@@ -170,7 +170,7 @@ def place_in_cells(units: DataFrame, scratch: Scratch, *, assign: int, probe: in
     centres = {}
     for root, (dim, n) in enumerate(sorted(sizes.items()), 1):
         by_hash = units.filter(F.col("dim") == dim).select("unit", "key").orderBy(F.xxhash64("key"), "key").limit(sample_rows).select("unit")
-        centres[dim] = (root, _centres(_matrix(by_hash.toArrow()["unit"], dim), min(FANOUT, -(-n // shard_rows))))
+        centres[dim] = (root, _centres(_matrix(by_hash.toArrow()["unit"], dim), min(FANOUT, -(-n * assign // shard_rows))))
     placed, _ = scratch.put(units.mapInArrow(_first_cells(centres, assign, probe), _PLACED), "placed0")
     done: list[DataFrame] = []
     for depth in range(1, DEPTH + 1):
