@@ -76,3 +76,52 @@ def test_pairs_come_from_the_productions(lang):
     for text in GOOD[lang]:
         classes, lines = grammars.lex(lang, text)
         assert len(classes) == len(lines) and all(p in pairs for p in zip(classes, classes[1:], strict=False))
+
+
+def test_long_type_arguments_and_statements(spark):
+    """Nothing is looked at only in part: type arguments of 2,000 characters, statements of 5,000 tokens."""
+    many = "{ " + " ".join(f"field{i}: string;" for i in range(150)) + " }"
+    assert len(many) > 2_000
+    ts = f"const m: Map<string, {many}> = make();\n"
+    chain = "x = " + " + ".join(f"a{i}.b[{i}]" for i in range(1_000)) + "\n"
+    js = "const s = " + " || ".join(f"a{i} === {i}" for i in range(1_700)) + ";\n"
+    sql = "SELECT " + ", ".join(f"a.c{i} AS d{i}" for i in range(1_300)) + " FROM a WHERE " + " AND ".join(f"x{i} = {i}" for i in range(1_300)) + ";\n"
+    rows = [("ts", "r", "a.ts", ts, "q"), ("py", "r", "a.py", chain, "q"), ("js", "r", "a.js", js, "q"), ("sql", "r", "a.sql", sql, "q"),
+            ("ts-", "r", "a.ts", ts.replace("> =", " ="), "q"), ("py-", "r", "a.py", chain[:-1] + " +\n", "q"), ("js-", "r", "a.js", js.replace(";\n", " ||;\n"), "q"), ("sql-", "r", "a.sql", sql.replace(";\n", " AND;\n"), "q")]
+    assert set(flagged(spark, rows)) == {"ts-", "py-", "js-", "sql-"}
+
+
+def test_python_statements_one_by_one(spark):
+    texts = ['print "x"\n', 'x = print "hello"\n', "1 = x\n", "f() = 1\n", "a + b = 1\n", 'x: "T" = 1\n', "x = y = f(1)\n", "a, *b = c[0]\n", "(a, b) = 1, 2\n", 'a.b["x"] += 1\n', "x = yield y\n", "if (n := f(x)) > 1:\n    pass\n", "type X = int\n", 'match "a":\n    case "x":\n        pass\n',
+             "f(lambda x, y=1: x)\n", "x = a if b else c if d else e\n", "from . import a, b\n", "x = f'{f\" {y}\\n\" if z else \"\"}'\n", "d[a:b, ::c] = [1]\n", "x = *a, b\n", "with a as b, c as d: pass\n", "else:\n    x\n", "try:\n    x\n", "def f(:\n    x\n", "exec 'x'\n", "raise E, 'x'\n"]
+    want = set()
+    for i, t in enumerate(texts):
+        try:
+            ast.parse(t)
+        except SyntaxError:
+            want.add(str(i))
+    got = set(flagged(spark, [(str(i), "r", "a.py", t, "q") for i, t in enumerate(texts)]))
+    assert got == want - {str(texts.index("raise E, 'x'\n"))}  # a comma may follow what is raised: more than Python permits
+
+
+def test_library_modules_pass(spark):
+    import glob
+    import os
+
+    rows = []
+    for f in sorted(glob.glob(os.path.dirname(os.__file__) + "/*.py"))[:120]:
+        with open(f, encoding="utf-8", errors="ignore") as h:
+            rows.append((f, "r", "a.py", h.read(), "q"))
+    assert len(rows) > 50 and flagged(spark, rows) == {}
+
+
+def test_automaton():
+    import re
+
+    from tidemark.llm.automaton import Automaton
+
+    for pattern in ("(?:a|b)*c{2,3}d?", "(?:ab?)+(?:c|[de])*", "a(?:bc|b)c?", ""):
+        auto = Automaton(pattern)
+        for text in ("", "a", "ab", "abc", "abcc", "acc", "ccd", "bbccc", "cccc", "abab", "abade", "b", "abbc"):
+            assert auto.fullmatch(text) == (re.fullmatch(pattern, text) is not None), (pattern, text)
+    assert Automaton("(?:a|a|aa)+").fullmatch("a" * 50_000) and not Automaton("(?:a|a|aa)+b").fullmatch("a" * 50_000)

@@ -15,7 +15,7 @@ import re
 from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
 
-import regex
+from tidemark.llm.automaton import Automaton
 
 BAD = "!"  # a token class in no grammar: illegal characters, strings and comments that do not end
 OPEN = {"(": "P", "[": "S", "{": "B", "<": "I"}
@@ -260,22 +260,29 @@ _PY_WORDS = (
 
 def _py_items() -> dict[str, str]:
     star = "s?"
-    oper = "(?:[mup]*(?:nl?|l+|P|S|B)(?:P|S|dn)*)"
+    oper = "(?:[mup]*(?:n|l+|P|S|B)(?:P|S|dn)*)"
     lam = "(?:L(?:s?n(?:a@)?|,|s|o)*c)"
     flat = f"(?:{oper}(?:(?:[omsv]|ou|uo){oper})*)"
     one = f"(?:{lam.replace('@', flat)}*{flat})"
-    e = f"(?:{one}(?:W{one}E{one})?(?:a{one}(?:W{one}E{one})?)*)"
+    e = f"(?:{one}(?:W{one}E{one})*(?:a{one}(?:W{one}E{one})*)*)"
     es = f"(?:{star}{e}(?:,{star}{e})*,?)"
+    # what stands before '=' ends in a name, an index or an attribute, or is a tuple or list
+    plain = f"(?:{one}(?:W{one}E{one})*)"
+    values = f"(?:{star}{plain}(?:,{star}{plain})*,?)"
+    target = "(?:n|P|S|(?:n|l+|P|S|B)(?:P|S|dn)*(?:S|dn))"
+    assign = f"(?:{star}{target}(?:,{star}{target})*,?a)"
     # targets, 'in' and source read as one comparison; a comma between targets ends the item
     comp = f"(?:Y?F{es}|W{e})"
     tail = "(?:I|#)"
-    small = f"(?:R(?:{es}(?:M{e})?)?|b|g(?:M?{es})?|X(?:n(?:dn)*(?:zn)?,?)+|M(?:d*n(?:dn)*|d+)X(?:P|s|(?:n(?:zn)?,?)+)|{es}(?:ag(?:M?{es})?)*(?:c{e}(?:a(?:{es}|g{es}?))?)?|n(?:n)S?a{e})"
+    small = f"(?:R(?:{es}(?:M{e})?)?|b|g(?:M?{es})?|X(?:n(?:dn)*(?:zn)?,?)+|M(?:d*n(?:dn)*|d+)X(?:P|s|(?:n(?:zn)?,?)+)|{assign}*(?:{values}|g(?:M?{es})?)|{target}c{plain}(?:a(?:{values}|g(?:M?{es})?))?|nnS?a{e})"
     line = f"{small}(?:;{small})*;?"
     head = f"(?:Y?DnS?P(?:A{e})?c|KnS?P?c|[Wfw]{e}c|E(?:c)|Y?F{es}c|Y?h{e}(?:zn(?:dn)*|zP)?(?:,{e}(?:zn)?)*c|T(?:c)|xs?(?:{es}(?:zn)?)?c|y(?:c)|n{es}(?:z[nP])?(?:W{e})?c)"
     body = f"(?:v{e}|{head}(?:I|{line})|{line})?"
-    arg = f"(?:{star}{e}(?:c{e})?(?:[aA]{e})?{comp}*|s|o|gM?{es}?|{e}(?:z{e})|n(?:zn)?|s{e}|{e}c(?:{e})(?:a{e})?|sn(?:c{e})?|{lam.replace('@', flat)}{e})?"
-    sub = f"(?:{star}{e}{comp}*|(?:{e})?c(?:{e})?(?:c(?:{e})?)?)?"
-    brace = f"(?:{star}{e}(?:c{e})?{comp}*|s{e})?"
+    # the commas of a lambda's own parameters end items too
+    begun = f"L(?:s?n(?:a{flat})?|s|o)"
+    arg = f"(?:{begun}|{star}{e}(?:c{e})?(?:[aA]{e})?{comp}*|s|o|gM?{es}?|{e}(?:z{e})|n(?:zn)?|s{e}|{e}c(?:{e})(?:a{e})?|sn(?:c{e})?|{lam.replace('@', flat)}{e})?"
+    sub = f"(?:{begun}|{star}{e}{comp}*|(?:{e})?c(?:{e})?(?:c(?:{e})?)?)?"
+    brace = f"(?:{begun}|{star}{e}(?:c{e})?{comp}*|s{e})?"
     return {"": body, "<": body, "(": arg, "[": sub, "{": brace}
 
 
@@ -297,22 +304,22 @@ _ENDS = set("nlPSBibRp)]}ug")
 _MODIFIERS = set("static public private protected readonly abstract declare async get set override accessor".split())
 
 
-def _generic(text: str, at: int) -> int:
-    """Where a list of type arguments that begins at ``at`` ends, or -1: only names and commas in balanced signs."""
-    depth = 0
-    for i in range(at, min(len(text), at + 400)):
-        c = text[i]
+_GENERIC = re.compile(r"[<>]|&&|\|\||[^\w$ ,.\[\]|?&'\"@{}:;\n\r\t()=<>]")
+
+
+def _generic_ends(text: str) -> dict[int, int]:
+    """Where each list of type arguments ends, by where it begins: names and their like in balanced signs."""
+    out: dict[int, int] = {}
+    open_: list[int] = []
+    for m in _GENERIC.finditer(text):
+        c, at = m.group(), m.start()
         if c == "<":
-            depth += 1
-        elif c == ">":
-            if text[i - 1] == "=":
-                continue
-            depth -= 1
-            if not depth:
-                return i + 1
-        elif not (c.isalnum() or c in "_$ ,.[]|?&'\"@{}:;\n\r\t()=") or (c in "|&" and text[i + 1 : i + 2] == c):
-            return -1
-    return -1
+            open_.append(at)
+        elif c != ">":
+            open_.clear()
+        elif open_ and text[at - 1] != "=":
+            out[open_.pop()] = at + 1
+    return out
 
 
 def _template_end(text: str, at: int) -> int:
@@ -359,6 +366,7 @@ def lex(lang: str, text: str) -> tuple[str, list[int]]:
     at, line, broke, n = 0, 1, False, len(text)
     js, ts = lang in ("js", "ts"), lang == "ts"
     typed = lang in ("ts", "java")
+    generics = _generic_ends(text) if typed else {}
 
     def put(c: str) -> None:
         out.append(c)
@@ -417,12 +425,12 @@ def lex(lang: str, text: str) -> tuple[str, list[int]]:
             elif lang == "sql" and last() == "d":
                 w = "n"
             c = w
-        elif typed and s[0] == "<" and last() in "nMAd" + ("f" if ts else "") and (end := _generic(text, at)) > 0:
+        elif typed and s[0] == "<" and last() in "nMAd" + ("f" if ts else "") and (end := generics.get(at, -1)) > 0:
             if re.compile(r"\s*(?:[\w$@({\[)\],;=>|&?:]|$)").match(text, end) and not (last() == "n" and re.compile(r"<\s*\d").match(text, at)):
                 put("g")
                 line, at, broke = line + text.count("\n", at, end), end, False
                 continue
-        elif lang == "java" and s[0] == "<" and last() in (";", "{", "}", "M", "@") and (end := _generic(text, at)) > 0:
+        elif lang == "java" and s[0] == "<" and last() in (";", "{", "}", "M", "@") and (end := generics.get(at, -1)) > 0:
             put("g")
             at = end
             continue
@@ -467,6 +475,63 @@ def _js_word(s: str, w: str, before: str, text: str, end: int, ts: bool) -> str:
     return "n"
 
 
+_FORMATTED = re.compile(r"(?i:(?:[ft]r?|r[ft]))(?P<q>\"\"\"|'''|\"|')")
+_QUOTED = re.compile(r"(?i:[rbu]{0,2})(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')", re.S)
+
+
+def _formatted_end(text: str, at: int, quote: str) -> int:
+    """Where a formatted string ends whose text begins at ``at``, with the expressions inside it; -1 if it does not."""
+    i, n = at, len(text)
+    stack: list[str] = [quote]  # quotes of texts, and '{' of expressions, with ':' for the format after one
+    while i < n:
+        top = stack[-1]
+        if top in ("{", "("):
+            c = text[i]
+            if (m := _FORMATTED.match(text, i)) and not (i and (text[i - 1].isalnum() or text[i - 1] == "_")):
+                stack.append(m.group("q"))
+                i = m.end()
+                continue
+            if c in "\"'":
+                m = _QUOTED.match(text, i)
+                if not m:
+                    return -1
+                i = m.end()
+                continue
+            if c in "([{":
+                stack.append("(")
+            elif c in ")]}":
+                stack.pop()
+            elif c == ":" and top == "{" and text[i + 1 : i + 2] != "=":
+                stack[-1] = ":"
+            i += 1
+        elif top == ":":
+            if text[i] == "{":
+                stack.append("{")
+            elif text[i] == "}":
+                stack.pop()
+            elif text[i] in "\n":
+                return -1
+            i += 1
+        elif text.startswith(top, i):
+            stack.pop()
+            i += len(top)
+            if not stack:
+                return i
+        elif text[i] == "\\":
+            i += 2
+        elif text[i] == "{":
+            if text.startswith("{{", i):
+                i += 2
+            else:
+                stack.append("{")
+                i += 1
+        elif text[i] in "\r\n" and len(top) == 1:
+            return -1
+        else:
+            i += 1
+    return -1
+
+
 def _lex_python(g: Grammar, text: str) -> tuple[str, list[int]]:
     words, scan = g.keywords, g.lexer.match
     out: list[str] = []
@@ -503,6 +568,10 @@ def _lex_python(g: Grammar, text: str) -> tuple[str, list[int]]:
                 if width != stack[-1]:
                     put(BAD)
             continue
+        if text[at] in "fFtTrR" and (m := _FORMATTED.match(text, at)) and (end := _formatted_end(text, m.end(), m.group("q"))) > 0:
+            put("l")
+            line, at = line + text.count("\n", at, end), end
+            continue
         m = scan(text, at)
         if m is None or m.end() == at:
             put(BAD)
@@ -525,9 +594,7 @@ def _lex_python(g: Grammar, text: str) -> tuple[str, list[int]]:
             c = {":": "c"}.get(s, s)
             depth = depth + 1 if s in "([{" else max(0, depth - 1) if s in ")]}" else depth
         elif kind == "n":
-            c = "n" if out and out[-1] == "d" else words.get(s, "n")
-            if s == "from" and out and out[-1] == "d":
-                c = "n"
+            c = "n" if out and out[-1] == "d" and s != "import" else words.get(s, "n")
         put(c)
         line += s.count("\n")
     if not depth:
@@ -540,7 +607,7 @@ def _lex_python(g: Grammar, text: str) -> tuple[str, list[int]]:
 
 
 def accepts(lang: str, kind: str, item: str) -> bool:
-    """Whether an item of a bracket of this kind follows the grammar; an item too tangled to tell counts as one.
+    """Whether an item of a bracket of this kind follows the grammar, in time linear in the item.
 
     An item may have the separator that ends it; only Java cares whether it has.
     """
@@ -548,12 +615,9 @@ def accepts(lang: str, kind: str, item: str) -> bool:
         item = item[:-1]
     elif lang == "java" and kind in ("(", "[") and item[-1:] in (";", ","):
         item = item[:-1]
-    try:
-        return _compiled(lang, kind)(item, timeout=5) is not None
-    except TimeoutError:
-        return True
+    return _compiled(lang, kind).fullmatch(item)
 
 
 @lru_cache(maxsize=64)
-def _compiled(lang: str, kind: str):
-    return regex.compile(GRAMMARS[lang].items[kind]).fullmatch
+def _compiled(lang: str, kind: str) -> Automaton:
+    return Automaton(GRAMMARS[lang].items[kind])
