@@ -30,7 +30,8 @@ def part_of_versions(spark: SparkSession, d: str) -> DataFrame:
     get = lambda p, t="string": F.try_variant_get("j", p, t)
     a = a.select("id", "subject_ref", get("$.validAt").alias("v"), get("$.knownAt").alias("k"), get("$.supportedBy", "array<string>").alias("by"))
     full = a.filter("v is not null and k is not null").select("id", "subject_ref", iso_micros(F.col("v")).alias("valid_at"), iso_micros(F.col("k")).alias("known_at"))
-    gaps = a.filter("v is null or k is null").dropDuplicates(["id"])
+    # rows of one id agree but where they are dirty; of those that differ the smallest counts
+    gaps = a.filter("v is null or k is null").groupBy("id").agg(F.min(F.struct("subject_ref", "v", "k", "by")).alias("r")).select("id", "r.*")
     sources = table(spark, d, "capture_sources").filter("id is not null").groupBy(F.col("id").alias("source")).agg(F.min(F.unix_micros("valid_at")).alias("sv"), F.max(F.unix_micros("known_at")).alias("sk"))
     asked = gaps.select("id", "subject_ref", "v", "k", F.posexplode("by").alias("pos", "source"))
     filled = (
@@ -101,6 +102,14 @@ def p7_stats(spark: SparkSession, d: str) -> DataFrame:
     return s.select("side", "node_id", "n_edges", F.round("mean_confidence", 6).alias("mean_confidence"), "min_confidence", "max_confidence")
 
 
+def p7_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Per end and in order of edge: the longest run of one provenance, and the first and last edge."""
+    e = table(spark, d, "edges")
+    ends = F.explode(F.array(F.struct(F.lit("src").alias("side"), F.col("src").alias("node_id")), F.struct(F.lit("dst").alias("side"), F.col("dst").alias("node_id"))))
+    rows = e.select(ends.alias("e"), F.col("id").alias("edge_id"), "provenance").select("e.side", "e.node_id", "edge_id", "provenance")
+    return skew.run_stats(rows, ["side", "node_id"], ["edge_id"], "provenance").select("side", "node_id", F.col("n_rows").alias("n_edges"), "longest_run", F.col("head").alias("first_edge"), F.col("tail").alias("last_edge"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     s = skew.degree_stats(edge_ends(spark, d))
     total = table(spark, d, "edges").agg(F.count(F.lit(1)).alias("total"))
@@ -110,7 +119,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p2_found": p2_found, "p2_totals": p2_totals, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy,
-    "p6_found": p6_found, "p6_kept": p6_kept, "p7_found": p7_found, "p7_stats": p7_stats,
+    "p6_found": p6_found, "p6_kept": p6_kept, "p7_found": p7_found, "p7_stats": p7_stats, "p7_runs": p7_runs,
 }
 
 _READ = "try_cast(case when regexp_matches({0}, '(Z|[+-]\\d\\d:\\d\\d)$') then {0} else {0} || 'Z' end as timestamptz)"
@@ -173,4 +182,13 @@ SQL = {
   with s as (select 'src' as side, src as node_id, confidence c from edges union all select 'dst', dst, confidence from edges)
   select side, node_id, count(*) as n_edges, round(avg(c), 6) as mean_confidence, min(c) as min_confidence, max(c) as max_confidence
   from s where node_id is not null group by side, node_id""",
+    "p7_runs": """
+  with e as (select src, dst, id, provenance p, row_number() over () as t from edges),
+  s as (select 'src' as side, src as node_id, id, p, t from e union all select 'dst', dst, id, p, t from e),
+  o as (select *, row_number() over (partition by side, node_id order by id nulls first, p nulls first, t) a,
+               row_number() over (partition by side, node_id, p order by id nulls first, t) b from s where node_id is not null),
+  r as (select side, node_id, p, a - b as g, count(*) n from o group by all),
+  m as (select side, node_id, max(n) longest_run from r group by all)
+  select side, node_id, count(*) as n_edges, any_value(longest_run) as longest_run, min(id) as first_edge, max(id) as last_edge
+  from o join m using (side, node_id) group by side, node_id""",
 }
