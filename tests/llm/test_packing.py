@@ -52,3 +52,32 @@ def test_empty_and_only_full(spark):
     assert pack(spark.createDataFrame([], S)).collect() == []
     got = pack(spark.createDataFrame([(1, 300, "x", "y"), (2, 100, "x", "y")], S), capacity=100).collect()
     assert len({x.bin_id for x in got}) == 4 and all(x.n_tokens == 100 for x in got)
+
+
+def test_large_capacity():
+    """Every size up to 131,072 several times: the sweep does not look at the gaps it cannot use."""
+    import time
+
+    capacity = 131_072
+    r = random.Random(3)
+    counts = {s: r.randrange(1, 4) for s in range(1, capacity + 1)}
+    start = time.time()
+    plan, opened = plan_runs(counts, capacity)
+    assert time.time() - start < 60
+    total = sum(s * n for s, n in counts.items())
+    assert -(-total // capacity) <= opened <= 1.001 * total / capacity + 1
+    size, rank, first, per = plan.T
+    assert len(set(zip(size.tolist(), rank.tolist(), strict=True))) == len(plan)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_large_items_of_many_sizes(seed):
+    r = random.Random(seed)
+    sizes = [r.randrange(1, 5_000) for _ in range(1_500)]
+    plan, opened = plan_runs({s: sizes.count(s) for s in set(sizes)}, 5_000)
+    assert opened == best_fit_decreasing(sizes, 5_000)
+
+
+def test_capacity_has_a_bound(spark):
+    with pytest.raises(ValueError):
+        pack(spark.createDataFrame([], S), capacity=1 << 21)

@@ -6,13 +6,14 @@ holds an item, then the next), and resolves conflicts by rank: the item of rank
 sweep.  Gaps are updated, and the next round begins; what finds no gap opens new containers.  This is best fit
 decreasing, carried out for all items of a size at once.
 
-There are at most ``capacity`` sizes and as many gaps whatever the number of items, so the runs are swept on
-the driver, while ranking the items within their size and looking up their containers is distributed.
+There are at most ``capacity`` sizes and as many gaps whatever the number of items, so the runs are swept in one
+place, the driver, while ranking the items within their size and looking up their containers is distributed.
+Above ``MAX_CAPACITY`` the runs would no longer be a small table, and ``pack`` refuses.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import bisect
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,7 @@ from tidemark.operators.skew import prefix_sums
 from tidemark.runtime import Scratch
 
 CAPACITY = 2_048
+MAX_CAPACITY = 1 << 20
 _BUCKETS = 256
 
 
@@ -32,40 +34,48 @@ def plan_runs(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
     The item of that size and rank r, rank_from <= r < the next row's, goes to container
     ``bin_from + (r - rank_from) // per_bin``.
     """
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap: runs (first container, how many)
+    gaps: dict[int, list[tuple[int, int]]] = {}  # gap: runs (first container, how many)
+    order: list[int] = []  # the gaps there are, ascending
     opened, rows = 0, []
+
+    def free(gap: int, first: int, n: int) -> None:
+        if gap and n:
+            if gap not in gaps:
+                gaps[gap] = []
+                bisect.insort(order, gap)
+            gaps[gap].append((first, n))
+
     for size in sorted(counts, reverse=True):
         left, rank = counts[size], 0
-        for gap in sorted(g for g in gaps if g >= size):
-            if not left:
+        while left:
+            # the sweep goes on from the successor of the size; what a gap keeps lies below it
+            at = bisect.bisect_left(order, size)
+            if at == len(order):
                 break
-            runs, gaps[gap] = gaps[gap], []
-            for first, n in runs:
-                per = gap // size
+            gap = order.pop(at)
+            per = gap // size
+            for first, n in gaps.pop(gap):
                 full = min(n, left // per)
                 if full:
                     rows.append((size, rank, first, per))
                     rank, left = rank + full * per, left - full * per
-                    gaps[gap - per * size].append((first, full))
+                    free(gap - per * size, first, full)
                 if full < n and left and left < per:
                     rows.append((size, rank, first + full, left))
-                    gaps[gap - left * size].append((first + full, 1))
+                    free(gap - left * size, first + full, 1)
                     rank, left, full = rank + left, 0, full + 1
-                if full < n:
-                    gaps[gap].append((first + full, n - full))
+                free(gap, first + full, n - full)
         if left:
             per = capacity // size
             full = left // per
             if full:
                 rows.append((size, rank, opened, per))
-                gaps[capacity - per * size].append((opened, full))
+                free(capacity - per * size, opened, full)
                 rank, left, opened = rank + full * per, left - full * per, opened + full
             if left:
                 rows.append((size, rank, opened, left))
-                gaps[capacity - left * size].append((opened, 1))
+                free(capacity - left * size, opened, 1)
                 opened += 1
-        for g in [g for g, r in gaps.items() if not r or g == 0]:
-            del gaps[g]
     return np.array(sorted(rows), np.int64).reshape(-1, 4), opened
 
 
@@ -98,6 +108,8 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, id_: str = "doc_id", siz
     may be null or repeat; every row is packed.  Other columns are ignored.  An empty table gives an empty
     result.
     """
+    if not 0 < capacity <= MAX_CAPACITY:
+        raise ValueError(f"capacity must be from 1 to {MAX_CAPACITY}")
     spark = items.sparkSession
     scratch = Scratch(spark, "pack")
     sized = items.select(F.col(id_).alias("_id"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("_n"))
