@@ -36,6 +36,19 @@ def test_edge_conflicts(spark):
     rows = [("e1", "a", "b", "calls", "path", "INFERRED", 0.9), ("e2", "a", "b", " CALLS", "path", "EXTRACTED", 0.5), ("e4", "c", "d", "calls", "path", "EXTRACTED", 0.5), ("e3", "c", "d", "calls", "static", "EXTRACTED", 0.5), ("e6", "x", "y", "calls", "static", "EXTRACTED", None), ("e5", "x", "y", "calls", "static", "EXTRACTED", None), ("e7", None, "y", "calls", "static", "EXTRACTED", 1.0)]
     df = spark.createDataFrame([(*r, {"k": r[0]}) for r in rows], "id string, src string, dst string, rel string, method string, provenance string, confidence double, evidence map<string,string>")
     assert {(r.src, r.id, r.n_derived) for r in M.upsert_edges(df).collect()} == {("a", "e2", 2), ("c", "e3", 2), ("x", "e5", 2)}
+    tie = [("t2", {"k": "2", "b": "2"}), ("t1", {"k": "1"}), ("t3", {"b": "3", "c": "3"}), ("t0", None)]
+    df = spark.createDataFrame([(i, "a", "b", "calls", "static", "EXTRACTED", 0.5, m) for i, m in tie], df.schema)
+    assert [(r.id, r.evidence) for r in M.upsert_edges(df).collect()] == [("t0", {"k": "1", "b": "2", "c": "3"})]
+
+
+def test_edges_that_both_sides_changed_go_by_the_rule(spark):
+    s = "id string, hash string, provenance string, confidence double, method string"
+    mk = lambda *r: spark.createDataFrame(list(r), s).withColumn("m", M.merit())
+    base = mk(("e1", "b", "INFERRED", 0.1, "path"), ("e2", "b", "INFERRED", 0.1, "path"), ("e3", "b", "INFERRED", 0.1, "path"))
+    ours = mk(("e1", "o", "INFERRED", 0.9, "path"), ("e2", "o", "EXTRACTED", 0.5, "path"), ("e3", "o", "EXTRACTED", 0.5, "path"), ("e4", "o", "INFERRED", 0.2, "path"))
+    theirs = mk(("e1", "t", "EXTRACTED", 0.2, "path"), ("e2", "t", "EXTRACTED", 0.5, "path"), ("e3", "t", "EXTRACTED", 0.5, "static"), ("e4", "t", "INFERRED", 0.3, "path"))
+    got = {r.id: (r.hash, r.outcome) for r in M.merge3(base, ours, theirs, better="m").collect()}
+    assert got == {"e1": ("t", "resolved"), "e2": ("o", "resolved"), "e3": ("t", "resolved"), "e4": ("t", "resolved")}
 
 
 def test_three_way_merge(spark):

@@ -85,3 +85,43 @@ def test_char_vectors(spark):
     assert R.fnv1a(b"a") == 0xE40C292C and not R.char_ngram_vector("").any()
     df = spark.createDataFrame([("a b",), ("a b",), (None,)], "name string")
     assert R.embed_names(df).count() == 1
+
+
+def test_rerank_by_what_the_query_asks(spark):
+    s = "query_id string, query string, id string, kind string, name string, degree int, score double"
+    rows = [("a", "where is the hash verified", "s", "symbol", "verifyHash", 7, 1.0), ("a", "where is the hash verified", "f", "file", "other", 0, 1.0), ("b", "hash", "s", "symbol", "plain", 0, 1.0), ("b", "hash", "d", "doc-section", None, None, 1.0), ("c", "Which hash", "r", "route", "x", -3, 1.0)]
+    got = {(r.query_id, r.id): (r.score, r["rank"]) for r in R.structural_rerank(spark.createDataFrame(rows, s)).collect()}
+    assert got == {("a", "s"): (round(1.09 * 1.2 * 1.1, 5), 1), ("a", "f"): (0.9, 2), ("b", "d"): (1.0, 1), ("b", "s"): (1.0, 2), ("c", "r"): (1.08, 1)}
+
+
+def test_terms_match_beginnings(spark):
+    docs = spark.createDataFrame([(1, "exported leases"), (2, "export"), (3, "an exporter exports"), (4, "porter"), (5, None)], "doc_id int, text string")
+    got = {r.doc_id: r.score for r in R.bm25(docs, spark.createDataFrame([("q", "export")], "query_id string, term string")).collect()}
+    assert set(got) == {1, 2, 3} and got[3] > got[1]  # two different tokens score each
+
+
+def test_seeds_and_their_fusion(spark):
+    nodes = spark.createDataFrame([("n1", "settledOrders"), ("n2", "settlement"), ("n3", "order"), ("n4", None), ("n1", "settledOrders"), ("n5", "unrelated")], "id string, text string")
+    q = spark.createDataFrame([("q", "settle the order"), ("none", "the of")], "query_id string, q string")
+    seeds = R.graph_seeds(nodes, q)
+    assert [(r.id, r.score) for r in seeds.orderBy("rank").collect()] == [("n1", 1.0), ("n2", 0.5), ("n3", 0.5)]
+    other = spark.createDataFrame([("q", "n2", 1), ("q", "n9", 2)], "query_id string, id string, rank int")
+    fused = R.fuse_seeds(seeds, other).orderBy("rank").collect()
+    assert fused[0].id == "n2" and fused[0].score == 1.0 and {r.id for r in fused} == {"n1", "n2", "n3", "n9"}
+
+
+def test_exact_hits_come_first_then_the_page(spark):
+    s = "query_id string, id string, rank int"
+    exact, ranked = spark.createDataFrame([("q", "e", 1)], s), spark.createDataFrame([("q", "a", 1), ("q", "e", 2), ("q", "b", 3)], s)
+    assert [r.id for r in R.exact_first(exact, ranked).orderBy("place").collect()] == ["e", "a", "b"]
+    assert [r.id for r in R.exact_first(exact, ranked, offset=1, limit=1).collect()] == ["a"]
+
+
+def test_query_words(spark):
+    from tidemark.functions import text as T
+
+    words = "settles settled settling settlement settle retries retry boxes bus class ies ties".split()
+    got = {r.w: r.s for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", T.stem(F.col("w")).alias("s")).collect()}
+    assert {got[w] for w in words[:5]} == {"settl"} and got["retries"] == got["retry"] == "retry" and got["boxes"] == "box" and got["bus"] == "bus" and got["class"] == "class" and got["ties"] == "tie"[:3]
+    r = spark.createDataFrame([("the of", "fix DTI now"), ("lease", "DTIs")], "q string, t string").select(T.query_terms(F.col("q"), {"lease": ["rental"]}).alias("q"), T.alias_rewrite(F.col("t"), {"DTI": "debt to income"}).alias("t")).collect()
+    assert [x.q for x in r] == [["the", "of"], ["lease", "rental"]] and [x.t for x in r] == ["fix DTI now debt to income", "DTIs"]

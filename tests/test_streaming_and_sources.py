@@ -29,16 +29,52 @@ def test_journal_keeps_one_copy_over_all_batches(spark, tmp_path):
 
 
 def test_late_rows_replay_the_stored_totals(spark, tmp_path):
-    sink = journal.late_stream(spark, str(tmp_path / "state"), period_us=100, slot_us=10)
-    s = "key string, occurred bigint"
-    batches = [[("a", 5), ("a", 95), ("b", 20), (None, 1)], [("a", 15), ("a", 16), ("c", 250)], [("a", 5), ("a", None)]]
+    path = str(tmp_path / "state")
+    sink = journal.late_stream(spark, path, period_us=100, slot_us=10, close_after_us=20, cutoff_us=300)
+    s = "key string, occurred bigint, arrived bigint"
+    batches = [[("a", 5, 6), ("a", 95, 96), ("b", 20, 21), (None, 1, 1)], [("a", 15, 119), ("a", 16, 120), ("c", 250, 250), ("a", 5, 306)], [("a", 5, 300), ("a", None, 1), ("a", 1, None)]]
     for i, b in enumerate(batches):
         sink(spark.createDataFrame(b, s), i)
     sink(spark.createDataFrame(batches[2], s), 2)  # tried again
-    got = {(r.key, r.period_start): r.total for r in journal.stream_totals(spark, str(tmp_path / "state")).collect()}
-    assert got == {("a", 0): 5, ("b", 0): 1, ("c", 200): 1}
-    cp = {(r.slot, r.before, r.amount) for r in spark.read.parquet(str(tmp_path / "state/v=2")).filter("key = 'a'").collect()}
-    assert cp == {(0, 0, 2), (10, 2, 2), (90, 4, 1)}
+    sink(spark.createDataFrame([], s), 3)
+    got = {(r.key, r.period_start): (r.total_at_close, r.total) for r in journal.stream_totals(spark, path).collect()}
+    assert got == {("a", 0): (3, 5), ("b", 0): (1, 1), ("c", 200): (1, 1)}
+    newest = journal._newest(spark.read.schema(journal._STATE).parquet(f"{path}/state")).filter("key = 'a'").collect()
+    assert {(r.slot, r.before, r.amount) for r in newest} == {(0, 0, 2), (10, 2, 2), (90, 4, 1)}
+    # only what changed was written again
+    assert spark.read.parquet(f"{path}/state").filter("key <> 'a' and epoch = 2").count() == 0
+
+
+def test_a_store_that_cannot_be_read_is_not_taken_for_empty(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "rows").mkdir()
+    (tmp_path / "rows" / "part.parquet").write_text("no parquet")
+    sink = journal.append_once(spark, str(tmp_path), key="id", arrived="arrived", tie="line")
+    with pytest.raises(Exception, match="(?i)parquet|malformed|footer"):
+        sink(spark.createDataFrame([(1, "a", 5)], S), 0)
+
+
+def test_no_folder_of_one_machine_on_a_cluster(monkeypatch):
+    import pytest
+
+    from tidemark import runtime
+
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(Session())
 
 
 def test_windowed_counts_match_batch(spark, tmp_path):

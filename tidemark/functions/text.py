@@ -26,12 +26,33 @@ def words(text: Column) -> Column:
 
 
 def stem(word: Column) -> Column:
-    """A light stem: -ies to y, then -es, -s, -ment, -ing, -ed and a last e off longer words."""
-    w = F.regexp_replace(word, "ies$", "y")
-    w = F.when(F.length(w) > 4, F.regexp_replace(w, "(ss|x|ch|sh)es$", "$1")).otherwise(w)
-    w = F.when((F.length(w) > 3) & ~w.endswith("ss"), F.regexp_replace(w, "s$", "")).otherwise(w)
-    w = F.when(F.length(w) > 6, F.regexp_replace(w, "(ment|ing|ed)$", "")).otherwise(w)
-    return F.when(F.length(w) > 4, F.regexp_replace(w, "e$", "")).otherwise(w)
+    """A light stem: -ies to y, else -es after a sibilant, else -s; then one of -ment, -ing, -ed; then a last e.
+
+    An ending goes only where three letters remain before it, a last e from words longer than three.
+    """
+    w = word
+    plural = F.when(w.rlike("^.{3,}ies$"), F.regexp_replace(w, "ies$", "y")).when(w.rlike("(ss|x|z|ch|sh)es$"), F.when(F.length(w) >= 5, F.regexp_replace(w, "es$", "")).otherwise(w))
+    w = plural.when(w.rlike("^.{3,}s$") & ~w.rlike("(ss|us|is)$"), F.regexp_replace(w, "s$", "")).otherwise(w)
+    w = F.regexp_replace(w, "^(.{3,}?)(ment|ing|ed)$", "$1")
+    return F.when(F.length(w) > 3, F.regexp_replace(w, "e$", "")).otherwise(w)
+
+
+def query_terms(text: Column, synonyms: dict[str, list[str]] | None = None) -> Column:
+    """Distinct terms of a query with the synonyms of each; a query of stopwords alone keeps its words."""
+    t = terms(text)
+    t = F.when(F.size(t) > 0, t).otherwise(words(text))
+    if synonyms:
+        more = F.create_map(*[x for k, v in synonyms.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in v]))])
+        t = F.flatten(F.transform(t, lambda w: F.concat(F.array(w), F.coalesce(more[w], F.array().cast("array<string>")))))
+    return F.array_distinct(t)
+
+
+def alias_rewrite(text: Column, aliases: dict[str, str]) -> Column:
+    """A query with the expansion of every alias appended that stands in it as a whole word, case and all."""
+    import re as _re
+
+    parts = [F.when(text.rlike(rf"(?<!\w){_re.escape(a)}(?!\w)"), F.lit(e)) for a, e in aliases.items()]
+    return F.concat_ws(" ", text, *parts) if parts else text
 
 
 def slug(text: Column) -> Column:

@@ -155,7 +155,7 @@ def from_nodes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = n.groupBy("id").agg(F.min("file").alias("fn"), F.min("span_start").alias("line"), F.min("expr").alias("text"), F.min("kind").alias("kind"))
     line = Window.partitionBy("fn").orderBy("line", "id")
     words = F.regexp_extract_all("text", F.lit("([A-Za-z_][A-Za-z_0-9]*)"), F.lit(1))
-    s = n.select("fn", F.row_number().over(line).cast("bigint").alias("id"), "text", F.when(F.col("kind") == "assignment", F.slice(words, 1, 1)).otherwise(F.array().cast("array<string>")).alias("defs"), F.when(F.col("kind") == "assignment", F.slice(words, 2, 100)).otherwise(words).alias("uses"), "kind")
+    s = n.select("fn", F.row_number().over(line).cast("bigint").alias("id"), "text", F.when(F.col("kind") == "assignment", F.slice(words, 1, 1)).otherwise(F.array().cast("array<string>")).alias("defs"), F.when(F.col("kind") == "assignment", F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))).otherwise(words).alias("uses"), "kind")
     ways = F.when(F.col("kind") == "condition", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     flow = s.select("fn", F.col("id").alias("src"), F.explode(ways).alias("way")).select("fn", "src", (F.col("src") + F.col("way")).alias("dst"))
     return s, flow.join(s.select("fn", F.col("id").alias("dst")), ["fn", "dst"], "left_semi").select("fn", "src", "dst")

@@ -8,6 +8,7 @@ anti join on the node.
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,10 +17,11 @@ from pyspark.sql import functions as F
 from tidemark.runtime import Scratch
 
 # fixed values: relations that carry architecture, kinds of noise and of weight
-ARCHITECTURAL = ("calls", "imports", "inherits", "implements", "reads", "writes", "executes", "references", "injects", "produces")
+ARCHITECTURAL = ("calls", "imports", "inherits", "implements", "exposes", "injects", "renders", "produces")
 STRUCTURAL = ("calls", "imports", "inherits", "implements")
-DETAIL_KINDS = ("statement", "condition", "assignment", "raise", "exception-handler", "cursor", "field", "explanation")
-KIND_BASE = {"file": 2.0, "route": 3.0, "table": 3.0}
+DETAIL_KINDS = ("assignment", "case-branch", "condition", "cursor", "raise", "exception-handler")
+KIND_BASE = {"file": 2.0, "class": 3.0, "interface": 3.0, "route": 3.0, "table": 3.0}
+SYMBOL_TYPES = ("class", "method", "function", "interface", "enum", "type", "getter", "setter", "property")
 NOISE_FACTOR = 0.1
 
 
@@ -45,15 +47,23 @@ def degree(edges: DataFrame) -> DataFrame:
     return g.select("node_id", "n_out", "n_in", (F.col("n_out") + F.col("n_in")).alias("degree"))
 
 
+def derived_kind(kind: Column, node_type: Column) -> Column:
+    """The kind of a node; of a symbol the first of ``SYMBOL_TYPES`` its type contains, else 'symbol'."""
+    out, t = F.lit("symbol"), F.lower(F.coalesce(node_type, F.lit("")))
+    for k in reversed(SYMBOL_TYPES):
+        out = F.when(F.contains(t, F.lit(k)), k).otherwise(out)
+    return F.when(kind == "symbol", out).otherwise(kind)
+
+
 def importance(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node_id, importance: a base by kind plus incoming architectural edges, a tenth of it for detail kinds."""
+    """node_id, importance: a base by derived kind plus incoming architectural edges, which count a tenth at detail kinds."""
+    kind = derived_kind(F.col("kind"), F.col("node_type"))
     base = F.lit(0.0)
     for k, v in KIND_BASE.items():
-        base = F.when(F.col("kind") == k, v).otherwise(base)
-    base = F.when(F.col("node_type").isin("class", "interface"), 3.0).otherwise(base)
+        base = F.when(kind == k, v).otherwise(base)
     into = tidy_edges(edges).filter(F.col("rel").isin(*ARCHITECTURAL)).groupBy(F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
     n = nodes.groupBy(F.col("id").alias("node_id")).agg(F.min("kind").alias("kind"), F.min("node_type").alias("node_type")).join(into, "node_id", "left")
-    score = (base + F.coalesce("n", F.lit(0))) * F.when(F.col("kind").isin(*DETAIL_KINDS), NOISE_FACTOR).otherwise(1.0)
+    score = base + F.coalesce("n", F.lit(0)) * F.when(kind.isin(*DETAIL_KINDS), NOISE_FACTOR).otherwise(1.0)
     return n.select("node_id", F.round(score, 6).alias("importance")).filter("importance > 0")
 
 
@@ -99,18 +109,18 @@ def shortest_paths(edges: DataFrame, source: DataFrame, targets: DataFrame, *, m
     return out.select("node_id", "hops", "path")
 
 
-def components(edges: DataFrame, *, max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node_id, component: the least node id of its undirected component.
 
     Labels go to the least of the neighbours' and are then shortened by pointer jumping, so the rounds grow with
-    the logarithm of the diameter.  Hubs are folded by partial minima.
+    the logarithm of the diameter; they go on until nothing changes.  Hubs are folded by partial minima.
     """
     scratch = Scratch(edges.sparkSession, "components")
     e = tidy_edges(edges).select("src", "dst")
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     both, _ = scratch.put(both, "edges")
     label, _ = scratch.put(both.groupBy(F.col("src").alias("node_id")).agg(F.least(F.min("dst"), F.min("src")).alias("label")), "label-0")
-    for i in range(1, max_rounds + 1):
+    for i in count(1):
         near = both.join(label.select(F.col("node_id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node_id")).agg(F.min("label").alias("near"))
         hop = label.join(near, "node_id", "left").select("node_id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         far = label.select(F.col("node_id").alias("label"), F.col("label").alias("far"))
@@ -130,20 +140,31 @@ def structural_weights(edges: DataFrame) -> DataFrame:
     return e.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count(F.lit(1)).alias("w"))
 
 
-def label_communities(weights: DataFrame, *, rounds: int = 8) -> DataFrame:
+def label_communities(weights: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     """node_id, community by synchronous label propagation over weighted pairs (a, b, w).
 
-    Each round every node of one half, chosen by hash and round, takes the heaviest label around it, ties to
-    the least.  A distributed stand-in for the sequential modularity kernel; its labels differ.
+    Each round every node of one half, chosen by hash and round, takes the heaviest label around it, its own if
+    that is among them, else the least.  It ends after two rounds without a move, and with an error where labels
+    still move after ``max_rounds``.  A distributed stand-in for the sequential modularity kernel; its labels differ.
     """
     scratch = Scratch(weights.sparkSession, "communities")
     both, _ = scratch.put(weights.select(F.col("a").alias("x"), F.col("b").alias("y"), "w").unionByName(weights.select(F.col("b").alias("x"), F.col("a").alias("y"), "w")), "edges")
     label, _ = scratch.put(both.select(F.col("x").alias("node_id")).distinct().withColumn("community", F.col("node_id")), "label-0")
-    for i in range(1, rounds + 1):
-        votes = both.join(label.withColumnRenamed("node_id", "y"), "y").groupBy("x", "community").agg(F.sum("w").alias("w"))
-        best = votes.groupBy(F.col("x").alias("node_id")).agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("b"))
+    still = 0
+    for i in range(1, max_rounds + 1):
+        own = label.select(F.col("node_id").alias("x"), F.col("community").alias("mine"))
+        votes = both.join(label.withColumnRenamed("node_id", "y"), "y").groupBy("x", "community").agg(F.sum("w").alias("w")).join(own, "x")
+        best = votes.groupBy(F.col("x").alias("node_id")).agg(F.min(F.struct((-F.col("w")).alias("w"), (F.col("community") != F.col("mine")).alias("other"), "community")).alias("b"))
         moves = F.pmod(F.xxhash64("node_id", F.lit(i)), F.lit(2)) == 0
-        label, _ = scratch.put(label.join(best, "node_id", "left").select("node_id", F.when(moves & F.col("b").isNotNull(), F.col("b.community")).otherwise(F.col("community")).alias("community")), f"label-{i}")
+        stepped, _ = scratch.put(label.join(best, "node_id", "left").select("node_id", F.when(moves & F.col("b").isNotNull(), F.col("b.community")).otherwise(F.col("community")).alias("community"), F.col("community").alias("old")), f"label-{i}")
+        label = stepped.drop("old")
+        still = 0 if stepped.filter("community <> old").limit(1).count() else still + 1
+        if still == 2:
+            return label
+        if i > 1:
+            scratch.drop(f"label-{i - 1}")
+    if label.limit(1).count():
+        raise RuntimeError(f"labels still move after {max_rounds} rounds")
     return label
 
 

@@ -17,19 +17,26 @@ def method_rank(method: Column) -> Column:
     return rank
 
 
+def merit() -> Column:
+    """What the better of two edges has less of: not extracted, confidence, rank of method."""
+    return F.struct((~F.col("provenance").eqNullSafe("EXTRACTED")).alias("p"), (-F.coalesce("confidence", F.lit(-1.0))).alias("c"), method_rank(F.col("method")).alias("m"))
+
+
 def upsert_edges(edges: DataFrame) -> DataFrame:
     """One row per (src, dst, rel): extracted before inferred, then confidence, method and least id.
 
-    rel is compared without outer blanks and letter case.  Evidence is joined only among rows that tie in all
-    but id; the winner's keys win.  Folded by partial minima, so a triple derived often costs no more.
+    rel is compared without outer blanks and letter case.  Of rows that tie in all but id the evidence is
+    joined, a key's value coming from the least id that has it.  Folded by partial minima, so a triple derived
+    often costs no more; evidence moves only where there is a tie.
     """
-    e = edges.filter("src is not null and dst is not null and rel is not null").withColumn("rel", F.lower(F.trim("rel")))
-    merit = F.struct((F.col("provenance") != "EXTRACTED").alias("p"), (-F.coalesce("confidence", F.lit(-1.0))).alias("c"), method_rank(F.col("method")).alias("m"), F.col("id").alias("i"))
-    best = e.groupBy("src", "dst", "rel").agg(
-        F.min_by(F.struct("id", "method", "provenance", "confidence", "evidence"), merit).alias("w"),
-        F.count(F.lit(1)).alias("n_derived"),
-    )
-    return best.select("src", "dst", "rel", "w.id", "w.method", "w.provenance", "w.confidence", "w.evidence", "n_derived")
+    triple = ["src", "dst", "rel"]
+    e = edges.filter("src is not null and dst is not null and rel is not null").withColumn("rel", F.lower(F.trim("rel"))).withColumn("_m", merit())
+    tied = e.groupBy(*triple, "_m").agg(F.min_by(F.struct("id", "method", "provenance", "confidence", "evidence"), "id").alias("w"), F.count(F.lit(1)).alias("_n"), F.count("evidence").alias("_e"))
+    best = tied.groupBy(*triple).agg(F.min_by(F.struct("w", "_m", "_n", "_e"), "_m").alias("b"), F.sum("_n").alias("n_derived")).select(*triple, "b.*", "n_derived")
+    shared = best.filter("_n > 1 and _e > 0").select(*triple, "_m")
+    parts = e.join(shared, [*triple, "_m"], "left_semi").select(*triple, "id", F.explode("evidence").alias("k", "v"))
+    joined = parts.groupBy(*triple, "k").agg(F.min_by("v", F.struct("id", "v")).alias("v")).groupBy(*triple).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("_joined"))
+    return best.join(joined, triple, "left").select(*triple, "w.id", "w.method", "w.provenance", "w.confidence", F.coalesce("_joined", "w.evidence").alias("evidence"), "n_derived")
 
 
 def upsert_nodes(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
@@ -46,18 +53,25 @@ def delta(before: DataFrame, after: DataFrame, *, key: str = "id", digest: str =
     return j.select(key, change.alias("change")).filter("change is not null")
 
 
-def merge3(base: DataFrame, ours: DataFrame, theirs: DataFrame, *, key: str = "id", digest: str = "hash") -> DataFrame:
+def merge3(base: DataFrame, ours: DataFrame, theirs: DataFrame, *, key: str = "id", digest: str = "hash", better: str | None = None) -> DataFrame:
     """key, digest, outcome of a three-way merge.
 
     One side's change wins over an unchanged other; a modification wins over a deletion; two different changes
-    keep ours with outcome 'conflict'.  Deleted keys give no row.
+    keep ours with outcome 'conflict'.  Of edges, for which ``better`` names a column with their ``merit``, two
+    different changes go by the rule of ``upsert_edges``: the side with less of it, ours in a tie, with outcome
+    'resolved'.  Deleted keys give no row.  Of rows that repeat a key the least digest counts.
     """
-    col = lambda df, n: df.select(key, digest).dropDuplicates([key]).select(key, F.col(digest).alias(n), F.lit(True).alias("h" + n))
-    j = col(base, "b").join(col(ours, "o"), key, "full").join(col(theirs, "t"), key, "full")
+
+    def side(df: DataFrame, n: str) -> DataFrame:
+        row = F.struct(F.col(digest).alias(n), F.col(better).alias("m" + n)) if better else F.struct(F.col(digest).alias(n))
+        return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(row).alias("r")).select(key, "r.*", F.lit(True).alias("h" + n))
+
+    j = side(base, "b").join(side(ours, "o"), key, "full").join(side(theirs, "t"), key, "full")
     hb, ho, ht = (F.coalesce(F.col(c), F.lit(False)) for c in ("hb", "ho", "ht"))
     same = lambda x, y: F.col(x).eqNullSafe(F.col(y))
+    clash = F.lit("resolved" if better else "conflict")
     outcome = (
-        F.when(~hb & ho & ht, F.when(same("o", "t"), "added").otherwise("conflict"))
+        F.when(~hb & ho & ht, F.when(same("o", "t"), "added").otherwise(clash))
         .when(~hb, "added")
         .when(~ho & ~ht, "deleted")
         .when(~ho, F.when(same("b", "t"), "deleted").otherwise("kept-theirs"))
@@ -65,9 +79,12 @@ def merge3(base: DataFrame, ours: DataFrame, theirs: DataFrame, *, key: str = "i
         .when(same("o", "t"), F.when(same("b", "o"), "same").otherwise("both"))
         .when(same("b", "o"), "theirs")
         .when(same("b", "t"), "ours")
-        .otherwise("conflict")
+        .otherwise(clash)
     )
-    value = F.when(outcome.isin("theirs", "kept-theirs"), F.col("t")).when(ho, F.col("o")).otherwise(F.col("t"))
+    take_theirs = outcome.isin("theirs", "kept-theirs")
+    if better:
+        take_theirs = take_theirs | ((outcome == "resolved") & (F.col("mt") < F.col("mo")))
+    value = F.when(take_theirs, F.col("t")).when(ho, F.col("o")).otherwise(F.col("t"))
     return j.select(key, value.alias(digest), outcome.alias("outcome")).filter("outcome <> 'deleted'")
 
 

@@ -64,10 +64,10 @@ def owner_module(nodes: DataFrame) -> DataFrame:
 def cluster_digest(nodes: DataFrame) -> DataFrame:
     """cluster_id, n_members, digest: a hash over the sorted hashes of a cluster's members.
 
-    Members are hashed within 64 buckets first and the bucket digests then, so no cluster is gathered whole.
+    Members are hashed within 256 buckets first and the bucket digests then, so no cluster is gathered whole.
     """
     n = _nodes(nodes).filter("cluster_id is not null").select("cluster_id", "id", F.coalesce("hash", F.lit("")).alias("h"))
-    part = n.groupBy("cluster_id", F.pmod(F.xxhash64("id"), F.lit(64)).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "id", "h"))), "\n"), 256).alias("d"), F.count(F.lit(1)).alias("n"))
+    part = n.groupBy("cluster_id", F.substring(F.md5("id"), 1, 2).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "id", "h"))), "\n"), 256).alias("d"), F.count(F.lit(1)).alias("n"))
     return part.groupBy("cluster_id").agg(F.sum("n").alias("n_members"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "b", "d"))), "\n"), 256).alias("digest"))
 
 

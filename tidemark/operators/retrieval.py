@@ -16,7 +16,8 @@ RRF_K = 60
 def bm25(docs: DataFrame, queries: DataFrame, *, k: int = 10, fields: dict[str, float] | None = None, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """query_id, doc id, score, rank: the k best documents of each query by Okapi BM25; ties by id.
 
-    ``queries``: query_id, term; a stated set of queries.  A term matches equal tokens.  ``fields`` weighs the
+    ``queries``: query_id, term; a stated set of queries.  A term of three letters or more matches every token
+    that begins with it, and each such token scores by its own frequency, once a query.  ``fields`` weighs the
     term frequencies of several columns.  Only tokens that some query asks for leave the scan; lengths are
     counted where the text is read.
     """
@@ -25,18 +26,22 @@ def bm25(docs: DataFrame, queries: DataFrame, *, k: int = 10, fields: dict[str,
     d = docs.filter(F.col(id_).isNotNull()).select(F.col(id_).alias("_id"), *[t.alias(f"_t{i}") for i, (t, _) in enumerate(weighted)])
     length = sum((F.size(f"_t{i}") * w for i, (_, w) in enumerate(weighted)), F.lit(0.0))
     d = d.withColumn("_len", length)
-    asked = F.broadcast(queries.select("term").distinct())  # a stated query set
+    asked = queries.select(F.col("term").alias("_ask"), F.substring("term", 1, 3).alias("_h")).distinct()
+    begins = lambda q: (F.substring("term", 1, 3) == q["_h"]) & F.col("term").startswith(q["_ask"])
+    few = F.broadcast(asked)  # a stated query set
     posted = None
     for i, (_, w) in enumerate(weighted):
-        p = d.select("_id", "_len", F.explode(f"_t{i}").alias("term")).join(asked, "term").groupBy("_id", "_len", "term").agg((F.count(F.lit(1)) * w).alias("tf"))
+        p = d.select("_id", "_len", F.explode(f"_t{i}").alias("term")).join(few, begins(few), "left_semi").groupBy("_id", "_len", "term").agg((F.count(F.lit(1)) * w).alias("tf"))
         posted = p if posted is None else posted.unionByName(p)
     posted = posted.groupBy("_id", "_len", "term").agg(F.sum("tf").alias("tf"))
     stats = d.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"))
     df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    s = posted.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # one row of two numbers
+    s = posted.join(df, "term").crossJoin(F.broadcast(stats))  # one row of two numbers
     idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    scored = s.select("_id", "term", part.alias("part")).join(F.broadcast(queries.select("query_id", "term").distinct()), "term")
+    wants = F.broadcast(queries.select("query_id", F.col("term").alias("_ask"), F.substring("term", 1, 3).alias("_h")).distinct())
+    asks = df.select("term").join(wants, begins(wants)).select("query_id", "term").distinct()
+    scored = s.select("_id", "term", part.alias("part")).join(asks, "term")
     total = scored.groupBy("query_id", "_id").agg(F.round(F.sum("part"), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "_id"))
     return total.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("_id").alias(id_), "score", "rank")
@@ -141,24 +146,78 @@ def interleave(first: DataFrame, second: DataFrame, *, key: str = "query_id", it
     return both.select(key, item, F.row_number().over(Window.partitionBy(key).orderBy("n", "s")).alias("place"))
 
 
-# fixed values: stems that mark an action, and what a kind is worth
-ACTION_STEMS = ("handle", "process", "apply", "update", "create", "build", "load", "save", "parse", "commit", "merge", "route")
-KIND_PRIOR = {"symbol": 1.0, "route": 1.05, "file": 0.9, "doc-section": 0.95}
+# fixed values: stems that mark an action, and what a kind is worth by what a query asks for
+ACTION_STEMS = (
+    "assess", "valid", "process", "evalu", "decid", "decise", "class", "classif", "auth", "grant", "hash", "verif", "verify", "issue", "login",
+    "approve", "approv", "deny", "review", "make", "creat", "handle", "handl", "route", "push", "authoriz", "evaluate",
+)
+INTENTS = (("location", r"\bwhere\b"), ("behavior", r"\bhow\b"), ("entity", r"\b(what|which)\b"))
+KIND_PRIOR = {
+    "location": {"symbol": 1.1, "route": 1.05, "file": 0.9, "doc-section": 0.85},
+    "behavior": {"symbol": 1.08, "route": 1.04, "file": 0.9, "doc-section": 0.85},
+    "entity": {"symbol": 1.08, "route": 1.08, "component": 1.04, "file": 0.92, "doc-section": 0.88},
+}
 
 
-def structural_rerank(hits: DataFrame, *, key: str = "query_id") -> DataFrame:
-    """key, id, score, rank of hits (key, id, kind, name, degree, score) with structural priors; ties by id."""
-    prior = F.lit(0.8)
-    for kind, v in KIND_PRIOR.items():
-        prior = F.when(F.col("kind") == kind, v).otherwise(prior)
+def intent(query: Column) -> Column:
+    """What a query asks for, by its first matching question word; 'unknown' without one."""
+    out = F.lit("unknown")
+    for name, pattern in reversed(INTENTS):
+        out = F.when(F.lower(query).rlike(pattern), name).otherwise(out)
+    return out
+
+
+def structural_rerank(hits: DataFrame, *, key: str = "query_id", query: str = "query") -> DataFrame:
+    """key, id, score, rank of hits (key, query, id, kind, name, degree, score) with structural priors; ties by id.
+
+    A hit gains with its degree, by a fifth if a stem of an action stands both in the query and in its name, and
+    by its kind as the intent of the query values it.
+    """
+    prior = F.lit(1.0)
+    for name, kinds in KIND_PRIOR.items():
+        for kind, v in kinds.items():
+            prior = F.when((F.col("_intent") == name) & (F.col("kind") == kind), v).otherwise(prior)
+    q, n = F.lower(F.coalesce(F.col(query), F.lit(""))), F.lower(F.coalesce("name", F.lit("")))
     action = F.lit(False)
     for s in ACTION_STEMS:
-        action = action | F.contains(F.lower(F.coalesce("name", F.lit(""))), F.lit(s))
-    score = F.col("score") * (1 + 0.03 * F.log2(1 + F.coalesce("degree", F.lit(0)))) * F.when(action, 1.2).otherwise(1.0) * prior
-    s = hits.select(key, "id", F.round(score, 5).alias("score"))
+        action = action | (F.contains(q, F.lit(s)) & F.contains(n, F.lit(s)))
+    degree = F.greatest(F.coalesce("degree", F.lit(0)), F.lit(0))
+    score = F.col("score") * (1 + 0.03 * F.log2(1 + degree)) * F.when(action, 1.2).otherwise(1.0) * prior
+    s = hits.withColumn("_intent", intent(F.col(query))).select(key, "id", F.round(score, 5).alias("score"))
     return s.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc(), "id")))
 
 
+def exact_first(exact: DataFrame, ranked: DataFrame, *, key: str = "query_id", item: str = "id", offset: int = 0, limit: int = 10) -> DataFrame:
+    """key, item, place: exact hits in their order, then the ranked ones that are not among them, then the page."""
+    rest = ranked.join(exact.select(key, item), [key, item], "left_anti").select(key, item, F.lit(1).alias("_s"), "rank")
+    both = exact.select(key, item, F.lit(0).alias("_s"), "rank").unionByName(rest)
+    place = both.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("_s", "rank", item)))
+    return place.filter((F.col("place") > offset) & (F.col("place") <= offset + limit)).select(key, item, "place")
+
+
+def graph_seeds(nodes: DataFrame, queries: DataFrame, *, k: int = 5, id_: str = "id", text: str = "text") -> DataFrame:
+    """query_id, id, score, rank: the k nodes that share most stemmed terms with a query, as a share of the query's.
+
+    ``queries``: query_id, q; a stated set.  Nodes without a text, and with no term in common, are none.
+    """
+    stems = lambda c: F.array_distinct(F.transform(T.terms(c), T.stem))
+    q = queries.select("query_id", stems(F.col("q")).alias("_t")).withColumn("_n", F.size("_t")).filter("_n > 0").select("query_id", "_n", F.explode("_t").alias("term"))
+    n = nodes.filter(F.col(id_).isNotNull() & F.col(text).isNotNull()).groupBy(id_).agg(F.min(text).alias("_x")).select(id_, F.explode(stems(F.col("_x"))).alias("term"))
+    hit = n.join(F.broadcast(q), "term").groupBy("query_id", id_, "_n").agg(F.count(F.lit(1)).alias("_m"))  # a stated query set
+    s = hit.select("query_id", id_, F.round(F.col("_m") / F.col("_n"), 6).alias("score"))
+    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), id_))).filter(F.col("rank") <= k)
+
+
+def fuse_seeds(*channels: DataFrame, k: int = 5, key: str = "query_id", item: str = "id") -> DataFrame:
+    """key, item, score, rank: ranks of all channels fused by reciprocals; the best seed of a query scores 1."""
+    every = channels[0].select(key, item, "rank")
+    for c in channels[1:]:
+        every = every.unionByName(c.select(key, item, "rank"))
+    s = every.groupBy(key, item).agg(F.sum(1 / (RRF_K + F.col("rank"))).alias("_s"))
+    s = s.select(key, item, F.round(F.col("_s") / F.max("_s").over(Window.partitionBy(key)), 6).alias("score"))
+    return s.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc(), item))).filter(F.col("rank") <= k)
+
+
 def file_prior(hits: DataFrame, weights: DataFrame, *, key: str = "query_id") -> DataFrame:
     """key, id, score: ``1 / (9 + rank) * (1 + w)`` with w, from 0 to 1, of the hit's file (columns file, w)."""
     h = hits.join(weights.select("file", "w"), "file", "left")

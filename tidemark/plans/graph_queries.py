@@ -107,10 +107,11 @@ _DETAIL = ", ".join(f"'{r}'" for r in graph.DETAIL_KINDS)
 _RISK = "case when distance = 1 then 'high' when distance = 2 then 'medium' else 'low' end as risk"
 _DEG = f"""select node_id, count(*) filter (o = 1) as n_out, count(*) filter (o = 0) as n_in, count(*) as degree
   from (select src as node_id, 1 as o from ({_E}) union all select dst, 0 from ({_E})) group by node_id"""
-_IMP = f"""select * from (select n.id as node_id, cast(round((case when n.node_type in ('class', 'interface') then 3.0 when n.kind in ('route', 'table') then 3.0 when n.kind = 'file' then 2.0 else 0.0 end
-    + coalesce(i.c, 0)) * case when n.kind in ({_DETAIL}) then 0.1 else 1.0 end, 6) as double) as importance
-  from (select id, min(kind) kind, min(node_type) node_type from nodes group by id) n
-  left join (select dst, count(*) c from ({_E}) where rel in ({_ARCH}) group by dst) i on i.dst = n.id) where importance > 0"""
+_KIND = "case when n.kind = 'symbol' then case " + " ".join(f"when contains(lower(coalesce(n.node_type, '')), '{t}') then '{t}'" for t in graph.SYMBOL_TYPES) + " else 'symbol' end else n.kind end"
+_IMP = f"""select * from (select node_id, cast(round(case when k in ('class', 'interface', 'route', 'table') then 3.0 when k = 'file' then 2.0 else 0.0 end
+    + coalesce(c, 0) * case when k in ({_DETAIL}) then 0.1 else 1.0 end, 6) as double) as importance
+  from (select n.id as node_id, {_KIND} as k, i.c from (select id, min(kind) kind, min(node_type) node_type from nodes group by id) n
+  left join (select dst, count(*) c from ({_E}) where rel in ({_ARCH}) group by dst) i on i.dst = n.id)) where importance > 0"""
 
 
 def _reach(seeds: str, a: str, b: str, depth: int, edges: str = _E) -> str:

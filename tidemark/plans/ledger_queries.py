@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.times import blank, iso_micros
 from tidemark.operators import ledger, reports
+from tidemark.plans import graph_queries
 from tidemark.sources import table
 
 #: The instant at which the journal and the ledger are read.
@@ -155,8 +156,6 @@ _NET = f"""select entity as subject, cast(greatest(least(sum(case when kind = 'm
 _ASOF = f"""select subject, predicate, id, object, valid_at, known_at from (select *, row_number() over (partition by subject, predicate order by valid_at desc, known_at desc, id) as k from ({_A}) where valid_at <= {NOW} and known_at <= {NOW}) where k = 1"""
 _E = "select distinct src, dst, lower(trim(rel)) as rel from edges where src is not null and dst is not null and rel is not null"
 _N = "select id, min(kind) kind, min(file) file, min(cluster_id) cluster_id, min(span_start) span_start, min(name) as name, min(node_type) node_type from nodes where id is not null group by id"
-_ARCH = "'calls', 'imports', 'inherits', 'implements', 'reads', 'writes', 'executes', 'references', 'injects', 'produces'"
-_DETAIL = "'statement', 'condition', 'assignment', 'raise', 'exception-handler', 'cursor', 'field', 'explanation'"
 
 SQL = {
     "asof_history": _ASOF,
@@ -191,11 +190,13 @@ SQL = {
   union all select id, 'executes-nothing' from n where kind = 'symbol' and id not in (select src from e where rel = 'executes')
   union all select id, 'route-without-call' from n where kind = 'route' and id not in (select src from e where rel = 'calls')
   union all select id, 'loose-statement' from n where kind = 'statement' and id not in (select src from e where rel = 'member-of')""",
-    "functional_map": f"""with n as ({_N}), i as (select n.id, (case when n.node_type in ('class', 'interface') then 3.0 when n.kind in ('route', 'table') then 3.0 when n.kind = 'file' then 2.0 else 0.0 end + coalesce(c, 0))
-    * case when n.kind in ({_DETAIL}) then 0.1 else 1.0 end as s from n left join (select dst, count(*) c from ({_E}) where rel in ({_ARCH}) group by dst) x on x.dst = n.id),
-  j as (select n.*, split_part(file, '/', 1) as module, round(s, 6) as s from n join i using (id) where file is not null)
+    "functional_map": f"""with n as ({_N}), i as ({graph_queries._IMP}),
+  j as (select n.*, split_part(file, '/', 1) as module, coalesce(importance, 0) as s from n left join i on i.node_id = n.id where file is not null)
   select module, count(*) filter (kind = 'file') as n_files, count(*) filter (kind = 'symbol') as n_symbols, count(*) filter (kind = 'route') as n_routes, count(*) filter (kind = 'doc-section') as n_docs,
     cast(round(sum(s), 4) as double) as importance, min_by(id, (-s, id)) as top_id from j group by module""",
+    "cluster_digest": f"""with n as (select cluster_id, id, coalesce(hash, '') h from ({_N.replace('min(kind) kind,', 'min(kind) kind, min(hash) hash,')}) where cluster_id is not null),
+  p as (select cluster_id, substr(md5(id), 1, 2) b, sha256(string_agg(id || '|' || h, chr(10) order by id || '|' || h)) d, count(*) n from n group by all)
+  select cluster_id, cast(sum(n) as bigint) as n_members, sha256(string_agg(b || '|' || d, chr(10) order by b || '|' || d)) as digest from p group by cluster_id""",
     "decision_rules": """select distinct src, dst as action, lower(trim(rel)) as rel, array_to_string(cfg_path, ';') as conditions, cfg_path[-1] as innermost, coalesce(branch, '') as polarity, coalesce(in_loop, false) as in_loop
   from edges where cfg_path is not null and src is not null and dst is not null and lower(trim(rel)) in ('calls', 'executes')""",
     "owner_module": f"""with c as (select cluster_id, split_part(file, '/', 1) as module, count(*) n from ({_N}) where cluster_id is not null and file is not null group by all)

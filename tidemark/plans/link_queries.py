@@ -74,6 +74,16 @@ def merge3(spark, d):
     return merging.merge3(*_states(spark, d))
 
 
+def merge3_edges(spark, d):
+    """Edges as one side (static derivations raised) and the other (paths made certain) changed them."""
+    e = table(spark, d, "edges").filter("id is not null and confidence is not null and provenance is not null and method is not null").groupBy("id").agg(F.min(F.struct("provenance", "confidence", "method")).alias("r")).select("id", "r.*")
+    state = lambda p, c: e.withColumn("provenance", p).withColumn("confidence", c).withColumn("hash", F.concat_ws("|", F.col("provenance"), F.round(F.col("confidence"), 3).cast("string"))).withColumn("m", merging.merit())
+    conf, prov = F.col("confidence"), F.col("provenance")
+    ours = state(prov, F.when(F.col("method").isin("static", "semantic"), conf + 0.01).otherwise(conf)).filter("method <> 'explicit'")
+    theirs = state(F.when(F.col("method") == "semantic", "EXTRACTED").otherwise(prov), F.when(F.col("method") == "static", conf + 0.02).otherwise(conf)).filter("method <> 'path'")
+    return merging.merge3(state(prov, conf), ours, theirs, better="m").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.max("hash").alias("top"))
+
+
 def delta_changes(spark, d):
     n, ours, _ = _states(spark, d)
     return merging.delta(n, ours)
@@ -106,7 +116,7 @@ def public_projection(spark, d):
     return n.select("id", "name", "file", T.compact_signature(F.col("signature")).alias("signature"), T.slug(F.col("name")).alias("slug")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (explicit_link, identifier_link, enclosing_symbol, majority_owner, longest_prefix, locator_reattach, conflict_upsert, merge3, delta_changes, multiset_parity, cochange, quote_grounding, public_projection)}
+QUERIES = {f.__name__: f for f in (explicit_link, identifier_link, enclosing_symbol, majority_owner, longest_prefix, locator_reattach, conflict_upsert, merge3, merge3_edges, delta_changes, multiset_parity, cochange, quote_grounding, public_projection)}
 
 _ONE = "select id, min(kind) kind, min(file) file, min(name) name, min(qualified_name) qualified_name, min(signature) signature, min(anchor) anchor, min(hash) hash, min(lang) lang, min(span_start) span_start, min(span_end) span_end from nodes where id is not null group by id"
 _METHOD = "case method when 'static' then 0 when 'explicit' then 1 when 'identifier' then 2 when 'path' then 3 when 'semantic' then 4 when 'inferred' then 5 else 6 end"
@@ -141,6 +151,15 @@ SQL = {
     when not ht then case when b is not distinct from o then 'deleted' else 'kept-ours' end when o is not distinct from t then case when b is not distinct from o then 'same' else 'both' end
     when b is not distinct from o then 'theirs' when b is not distinct from t then 'ours' else 'conflict' end as outcome from j)
   select id, case when outcome in ('theirs', 'kept-theirs') then t when ho then o else t end as hash, outcome from k where outcome <> 'deleted'""",
+    "merge3_edges": """with e as (select id, r.p, r.c, r.m from (select id, min(struct_pack(p := provenance, c := confidence, m := method)) r from edges where id is not null and confidence is not null and provenance is not null and method is not null group by id)),
+  s as (select id, m, p as bp, c as bc, p as op, case when m in ('static', 'semantic') then c + 0.01 else c end as oc, case when m = 'semantic' then 'EXTRACTED' else p end as tp, case when m = 'static' then c + 0.02 else c end as tc,
+          coalesce(m <> 'explicit', false) as ho, coalesce(m <> 'path', false) as ht from e),
+  h as (select *, concat_ws('|', bp, cast(round(bc, 3) as varchar)) b, concat_ws('|', op, cast(round(oc, 3) as varchar)) o, concat_ws('|', tp, cast(round(tc, 3) as varchar)) t from s),
+  k as (select *, case when not ho and not ht then 'deleted' when not ho then case when b = t then 'deleted' else 'kept-theirs' end when not ht then case when b = o then 'deleted' else 'kept-ours' end
+      when o = t then case when b = o then 'same' else 'both' end when b = o then 'theirs' when b = t then 'ours' else 'resolved' end as outcome from h),
+  v as (select *, case when outcome in ('theirs', 'kept-theirs') then t
+      when outcome = 'resolved' and ((coalesce(tp, '') <> 'EXTRACTED') < (coalesce(op, '') <> 'EXTRACTED') or (coalesce(tp, '') <> 'EXTRACTED') = (coalesce(op, '') <> 'EXTRACTED') and coalesce(tc, -1) > coalesce(oc, -1)) then t else o end as hash from k where outcome <> 'deleted')
+  select outcome, count(*) as n, max(hash) as top from v group by outcome""",
     "delta_changes": f"with {_N3} select n.id, case when o.id is null then 'removed' else 'changed' end as change from n left join o using (id) where o.id is null or n.hash is distinct from o.hash",
     "multiset_parity": """with l as (select lower(trim(rel)) rel, provenance, count(*) c from edges where method = 'static' group by all), r as (select lower(trim(rel)) rel, provenance, count(*) c from edges where method = 'path' group by all)
   select coalesce(l.rel, r.rel) as rel, coalesce(l.provenance, r.provenance) as provenance, least(coalesce(l.c, 0), coalesce(r.c, 0)) as matched, greatest(coalesce(l.c, 0) - coalesce(r.c, 0), 0) as only_left,

@@ -91,6 +91,16 @@ def p6_kept(spark: SparkSession, d: str) -> DataFrame:
     return delivery.first_copies(e, key="idempotency_key", arrived="recorded_at", tie="line_no").select("line_no", "idempotency_key", "kind")
 
 
+def p6_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the later half of the journal that are stored, what the earlier half holds being stored already."""
+    e = table(spark, d, "intelligence_events").select("line_no", "idempotency_key", "recorded_at")
+    at = F.unix_micros("recorded_at")
+    mid = e.agg(F.floor((F.min(at) + F.max(at)) / 2).alias("mid"))
+    e = e.crossJoin(F.broadcast(mid)).withColumn("old", F.coalesce(at < F.col("mid"), F.lit(False))).drop("mid")  # one number
+    fresh = delivery.first_copies(e.filter("not old"), key="idempotency_key", arrived="recorded_at", tie="line_no", stored=e.filter("old"))
+    return fresh.select("line_no", "idempotency_key")
+
+
 def edge_ends(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "edges")
     ends = F.explode(F.array(F.struct(F.lit("src").alias("side"), F.col("src").alias("node_id")), F.struct(F.lit("dst").alias("side"), F.col("dst").alias("node_id"))))
@@ -119,7 +129,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p2_found": p2_found, "p2_totals": p2_totals, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy,
-    "p6_found": p6_found, "p6_kept": p6_kept, "p7_found": p7_found, "p7_stats": p7_stats, "p7_runs": p7_runs,
+    "p6_found": p6_found, "p6_kept": p6_kept, "p6_batch": p6_batch, "p7_found": p7_found, "p7_stats": p7_stats, "p7_runs": p7_runs,
 }
 
 _READ = "try_cast(case when regexp_matches({0}, '(Z|[+-]\\d\\d:\\d\\d)$') then {0} else {0} || 'Z' end as timestamptz)"
@@ -175,6 +185,12 @@ SQL = {
     "p6_kept": """
   select line_no, idempotency_key, kind from (select *, row_number() over (partition by idempotency_key order by recorded_at nulls last, line_no) n
     from intelligence_events) where n = 1 or trim(coalesce(idempotency_key, '')) = ''""",
+    "p6_batch": """
+  with m as (select (epoch_us(min(recorded_at)) + epoch_us(max(recorded_at))) // 2 as mid from intelligence_events),
+  e as (select line_no, idempotency_key, recorded_at, coalesce(epoch_us(recorded_at) < mid, false) as old, trim(coalesce(idempotency_key, '')) = '' as blank from intelligence_events, m)
+  select line_no, idempotency_key from (select *, row_number() over (partition by idempotency_key order by recorded_at nulls last, line_no) n from e where not old and not blank
+    and idempotency_key not in (select idempotency_key from e where old and idempotency_key is not null)) where n = 1
+  union all select line_no, idempotency_key from e where not old and blank""",
     "p7_found": """
   with s as (select 'src' as side, src as node_id from edges union all select 'dst', dst from edges)
   select side, node_id from s where node_id is not null group by all having count(*) * 100 >= (select count(*) from edges)""",

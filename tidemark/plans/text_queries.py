@@ -67,9 +67,10 @@ def token_budget(spark, d):
 
 
 def exact_name(spark, d):
-    """Names of Go symbols looked up among all nodes: qualified, plain, then either without letter case."""
-    n = table(spark, d, "nodes").filter("id is not null").dropDuplicates(["id"])
-    asked = n.filter("lang = 'go' and name is not null").select(F.col("name").alias("asked")).distinct()
+    """Names of all symbols looked up among all nodes: qualified, plain, then either without letter case."""
+    cols = ("kind", "file", "name", "qualified_name")
+    n = table(spark, d, "nodes").filter("id is not null").groupBy("id").agg(*[F.min(c).alias(c) for c in cols])
+    asked = n.filter("kind = 'symbol' and name is not null").select(F.col("name").alias("asked")).distinct()
     names = n.select("id", "kind", "file", F.explode(F.array(F.struct(F.lit(1).alias("t"), F.col("qualified_name").alias("k")), F.struct(F.lit(2).alias("t"), F.col("name").alias("k")), F.struct(F.lit(3).alias("t"), F.lower("qualified_name").alias("k")), F.struct(F.lit(4).alias("t"), F.lower("name").alias("k")))).alias("x")).select("id", "kind", "file", "x.t", "x.k")
     keys = asked.select("asked", F.explode(F.array(F.struct(F.lit(False).alias("ci"), F.col("asked").alias("k")), F.struct(F.lit(True).alias("ci"), F.lower("asked").alias("k")))).alias("x")).select("asked", "x.ci", "x.k")
     hit = names.join(keys, "k").filter((F.col("t") <= 2) != F.col("ci")).groupBy("asked", "id", "kind", "file").agg(F.min("t").alias("tier"))
@@ -78,9 +79,17 @@ def exact_name(spark, d):
     return graph.top_ranked(hit, ["asked"], order, 20).select("asked", "id", "tier", "degree", "rank")
 
 
+#: How a name is asked for, by the length of the name, so that every intent occurs.
+QUESTIONS = ("where is {} defined", "how does {} work", "what is {}", "{}")
+
+
 def structural_rerank(spark, d):
     h = exact_name(spark, d).join(table(spark, d, "nodes").groupBy("id").agg(F.min("kind").alias("kind"), F.min("name").alias("name")), "id")
-    h = h.select(F.col("asked").alias("query_id"), "id", "kind", "name", "degree", (1.0 / F.col("rank")).alias("score"))
+    asked, query = F.col("asked"), F.lit("")
+    for i, q in enumerate(QUESTIONS):
+        before, after = q.split("{}")
+        query = F.when(F.length(asked) % len(QUESTIONS) == i, F.concat(F.lit(before), asked, F.lit(after))).otherwise(query)
+    h = h.select(asked.alias("query_id"), query.alias("query"), "id", "kind", "name", "degree", (1.0 / F.col("rank")).alias("score"))
     return retrieval.structural_rerank(h)
 
 
@@ -113,10 +122,11 @@ _Q = "select query_id, unnest(list_distinct(" + _terms("q") + ")) as term from (
 
 def _bm25(parts: str, length: str) -> str:
     return f"""with q as ({_Q}), l as (select doc_id, {length} as len from documents), p as ({parts}),
-  t as (select p.doc_id, term, sum(w) as tf from p where term in (select term from q) group by all),
+  x as (select distinct query_id, p.term from (select distinct term from p) p join q on starts_with(p.term, q.term)),
+  t as (select p.doc_id, term, sum(w) as tf from p where term in (select term from x) group by all),
   f as (select term, count(*) df from t group by term), n as (select count(*) n, avg(len) a from l),
   s as (select query_id, t.doc_id, round(sum(ln(1 + (n.n - f.df + 0.5) / (f.df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / n.a))), 6) as score
-        from t join f using (term) join l using (doc_id) join q using (term), n group by all)
+        from t join f using (term) join l using (doc_id) join x using (term), n group by all)
   select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) where rank <= 10"""
 
 
@@ -125,7 +135,7 @@ _KX = _terms("coalesce(doc_kind, '')")
 _BM25 = _bm25(f"select doc_id, unnest({_TX}) as term, 1.0 as w from documents", f"cast(len({_TX}) as double)")
 _BM25K = _bm25(f"select doc_id, unnest({_TX}) as term, 1.0 as w from documents union all select doc_id, unnest({_KX}), 10.0 from documents", f"len({_TX}) * 1.0 + len({_KX}) * 10.0")
 _NODES1 = "select id, min(kind) kind, min(file) file, min(name) name, min(qualified_name) qn, min(lang) lang from nodes where id is not null group by id"
-_EXACT = f"""with n as ({_NODES1}), a as (select distinct name as asked from n where lang = 'go' and name is not null),
+_EXACT = f"""with n as ({_NODES1}), a as (select distinct name as asked from n where kind = 'symbol' and name is not null),
   g as (select node_id, count(*) degree from (select src as node_id, dst, rel2 from (select distinct src, dst, lower(trim(rel)) rel2 from edges) union all select dst, src, rel2 from (select distinct src, dst, lower(trim(rel)) rel2 from edges)) group by 1),
   h as (select asked, id, min(t) tier from (
       select asked, id, 1 t from a join n on n.qn = asked union all select asked, id, 2 from a join n on n.name = asked
@@ -133,7 +143,10 @@ _EXACT = f"""with n as ({_NODES1}), a as (select distinct name as asked from n w
   r as (select asked, h.id, tier, coalesce(degree, 0) as degree, row_number() over (partition by asked order by tier, kind <> 'symbol', regexp_matches(coalesce(file, ''), '(^|/)tests?/'), coalesce(degree, 0) desc, h.id) as rank
         from h join n using (id) left join g on g.node_id = h.id)
   select * from r where rank <= 20"""
-_ACTION = " or ".join(f"contains(lower(coalesce(name, '')), '{s}')" for s in retrieval.ACTION_STEMS)
+_QUERY = "case " + " ".join(f"when length(asked) % {len(QUESTIONS)} = {i} then '" + q.replace("{}", "' || asked || '") + "'" for i, q in enumerate(QUESTIONS)) + " end"
+_ACTION = " or ".join(f"(contains(lower(q), '{s}') and contains(lower(coalesce(name, '')), '{s}'))" for s in retrieval.ACTION_STEMS)
+_INTENT = "case " + " ".join(f"when regexp_matches(lower(q), '{p}') then '{n}'" for n, p in retrieval.INTENTS) + " else 'unknown' end"
+_PRIOR = "case " + " ".join(f"when intent = '{i}' and kind = '{k}' then {v}" for i, kinds in retrieval.KIND_PRIOR.items() for k, v in kinds.items()) + " else 1.0 end"
 
 SQL = {
     "bm25_topk": _BM25,
@@ -164,10 +177,9 @@ SQL = {
     round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(c.n, 10) + 1), lambda i: 1 / log2(i + 1))), 6) as ndcg from q cross join c left join h using (query_id)""",
     "token_budget": """select source, doc_id, used from (select source, doc_id, cast(sum(coalesce(cast(ceil(length(text) / 4) as bigint), 0)) over (partition by source order by doc_id rows unbounded preceding) as bigint) as used from documents) where used <= 2000""",
     "exact_name": _EXACT,
-    "structural_rerank": f"""select *, row_number() over (partition by query_id order by score desc, id) as rank from (
-  select asked as query_id, x.id, round((1.0 / rank) * (1 + 0.03 * log2(1 + degree)) * (case when {_ACTION} then 1.2 else 1.0 end)
-    * (case kind when 'symbol' then 1.0 when 'route' then 1.05 when 'file' then 0.9 when 'doc-section' then 0.95 else 0.8 end), 5) as score
-  from ({_EXACT}) x join ({_NODES1}) n using (id))""",
+    "structural_rerank": f"""with h as (select asked as query_id, {_QUERY} as q, x.id, rank, degree, kind, name from ({_EXACT}) x join ({_NODES1}) n using (id)), i as (select *, {_INTENT} as intent from h)
+  select *, row_number() over (partition by query_id order by score desc, id) as rank from (
+    select query_id, id, round((1.0 / rank) * (1 + 0.03 * log2(1 + degree)) * (case when {_ACTION} then 1.2 else 1.0 end) * ({_PRIOR}), 5) as score from i)""",
     "file_prior": f"""with f as (select id, min(file) file from nodes group by id), c as (select file, sum(c) c from (select src as id, count(*) c from edges group by 1) join f using (id) group by file),
   w as (select file, ln(1 + c) / ln(1 + (select max(c) from c)) as w from c)
   select asked as query_id, x.id, round((1.0 / (9 + rank)) * (1 + least(greatest(coalesce(w, 0), 0), 1)), 6) as score from ({_EXACT}) x join f using (id) left join w using (file)""",
