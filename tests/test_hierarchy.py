@@ -62,3 +62,11 @@ def test_empty_and_only_cycles(spark):
     two = spark.createDataFrame([("a", "b", "", 1), ("b", "a", "", 1)], S)
     for rest in (0, 10):
         assert {tuple(x)[:3] for x in hierarchy(two, rest_rows=rest).collect()} == {("a", "cycle", -1), ("b", "cycle", -1)}
+
+
+def test_paths_of_a_long_chain(spark):
+    n = 300
+    links = spark.createDataFrame([(f"c{i}", f"c{i - 1}") for i in range(1, n)] + [("x", "y"), ("y", "x"), ("z", "x")], "child string, parent string")
+    got = {r.node_id: r for r in hierarchy(links, with_path=True).collect()}
+    assert got[f"c{n - 1}"].path == [f"c{i}" for i in range(n)] and got["c0"].path == ["c0"] and got["c7"].depth == 7
+    assert got["z"].path is None and got["x"].root_id == "cycle"

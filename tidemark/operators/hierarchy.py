@@ -10,11 +10,14 @@ Nodes that never run out of open children are on a cycle; nodes whose parent got
 A round costs one aggregation and one join over the nodes that are still open, whose number falls quickly.
 Once no more than ``rest_rows`` are open the remaining levels, however deep, are done in one task of that
 bounded size; until then they stay distributed.  A busy parent is never gathered: its children's sizes are
-partially summed, and their places come from prefix sums over 256 buckets.
+partially summed, and their places come from prefix sums over 256 buckets.  Paths are never built in one task:
+those of the last open nodes come from pointer doubling, the others from their parents', round by round.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,31 +51,48 @@ def _finish_up(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(_size=size, _round=done)
 
 
-def _finish_down(with_path: bool):
-    def down(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = len(pdf)
-        at = {k: i for i, k in enumerate(pdf["_k"])}
-        parent = [-1 if p is None else at.get(p, -2) for p in pdf["_p"]]
-        ids, off = pdf["_id"].tolist(), pdf["_off"].to_numpy(np.int64)
-        root: list = [None] * n
-        depth, lo, path = np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n
-        known = np.zeros(n, bool)
-        for start in range(n):
-            chain, i = [], start
-            while i >= 0 and not known[i]:
-                chain.append(i)
-                known[i] = True
-                i = parent[i]
-            for j in reversed(chain):
-                p = parent[j]
-                if p == -1:
-                    root[j], path[j] = ids[j], [ids[j]]
-                elif p >= 0 and root[p] is not None:
-                    root[j], depth[j], lo[j] = root[p], depth[p] + 1, lo[p] + 1 + off[j]
-                    path[j] = [*path[p], ids[j]] if with_path else None
-        return pd.DataFrame({"_k": pdf["_k"], "_p": pdf["_p"], "_id": ids, "_size": pdf["_size"], "_root": root, "_depth": depth, "_lo": lo, "_path": path if with_path else [None] * n})
-
-    return down
+def _finish_down(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Root, depth and place of the last open nodes, all of them at once."""
+    n = len(pdf)
+    at = {k: i for i, k in enumerate(pdf["_k"])}
+    parent = [-1 if p is None else at.get(p, -2) for p in pdf["_p"]]
+    ids, off = pdf["_id"].tolist(), pdf["_off"].to_numpy(np.int64)
+    root: list = [None] * n
+    depth, lo = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    known = np.zeros(n, bool)
+    for start in range(n):
+        chain, i = [], start
+        while i >= 0 and not known[i]:
+            chain.append(i)
+            known[i] = True
+            i = parent[i]
+        for j in reversed(chain):
+            p = parent[j]
+            if p == -1:
+                root[j] = ids[j]
+            elif p >= 0 and root[p] is not None:
+                root[j], depth[j], lo[j] = root[p], depth[p] + 1, lo[p] + 1 + off[j]
+    return pd.DataFrame({"_k": pdf["_k"], "_p": pdf["_p"], "_id": ids, "_size": pdf["_size"], "_root": root, "_depth": depth, "_lo": lo})
+
+
+def _paths(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``nodes`` (_k, _p, _id, ...) of whole upper parts of trees with ``_path`` from the root, by pointer doubling.
+
+    A node holds the part of its path from below the node it points to.  A round puts that node's part before it
+    and takes over its pointer, so a path of n nodes is complete after log2 n rounds, and no task holds more than
+    its own rows.
+    """
+    known = nodes.filter("_root is not null")
+    part, n = scratch.put(known.select("_k", F.col("_p").alias("_to"), F.array("_id").alias("_path")), "path-0")
+    for i in count(1):
+        if not part.filter("_to is not null").limit(1).count():
+            break
+        above = part.select(F.col("_k").alias("_to"), F.col("_to").alias("_next"), F.col("_path").alias("_above"))
+        stepped = part.join(above, "_to", "left").select("_k", F.col("_next").alias("_to"), F.when(F.col("_above").isNull(), F.col("_path")).otherwise(F.concat("_above", "_path")).alias("_path"))
+        part, _ = scratch.put(stepped, f"path-{i}")
+        if i > 1:
+            scratch.drop(f"path-{i - 1}")
+    return nodes.join(part.select("_k", "_path"), "_k", "left")
 
 
 def hierarchy(links: DataFrame, *, with_path: bool = False, rest_rows: int = REST_ROWS) -> DataFrame:
@@ -123,10 +143,11 @@ def hierarchy(links: DataFrame, *, with_path: bool = False, rest_rows: int = RES
     places = prefix_sums(closed.filter("_p is not null"), ["_p"], ["_k"], F.col("_size"), bucket, "_off")
     placed, _ = scratch.put(tops.unionByName(places), "placed")
 
-    out = "_k binary, _p binary, _id string, _size bigint, _root string, _depth bigint, _lo bigint, _path array<string>"
+    out = "_k binary, _p binary, _id string, _size bigint, _root string, _depth bigint, _lo bigint"
     at_rest = placed.filter(F.col("_round") == len(rounds)).drop("_round")
     if n <= rest_rows:
-        solved, _ = scratch.put(at_rest.groupBy().applyInPandas(_finish_down(with_path), out), "down-rest")
+        last, _ = scratch.put(at_rest.groupBy().applyInPandas(_finish_down, out), "down-rest")
+        solved = _paths(last, scratch) if with_path else last.withColumn("_path", F.lit(None).cast("array<string>"))
     else:
         solved, _ = scratch.put(_tops(at_rest.filter("_p is null"), with_path), "down-rest")
     for i in range(len(rounds) - 1, -1, -1):
