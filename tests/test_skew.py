@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import degree_stats, offset_chunks, prefix_sums, run_stats
+from tidemark.operators.skew import degree_stats, following, numbered, offset_chunks, prefix_sums, run_stats, running_sum
 
 S = "side string, node_id string, edge_id string, confidence double, _chunk string"
 
@@ -80,3 +80,20 @@ def test_rows_that_are_equal_throughout_are_cut_too(spark):
     sizes = [x["count"] for x in offset_chunks(df, ["k"], ["i", "v"], chunk_rows=50).groupBy("_chunk").count().collect()]
     assert sizes == [50] * 10
     assert run_stats(df, ["k"], ["i"], "v", chunk_rows=50).first().longest_run == 500
+
+
+def test_order_within_busy_keys(spark):
+    r = random.Random(8)
+    data = [(r.choice(["hub", "hub", "hub", "a", None]), i, r.randrange(5)) for i in range(400)]
+    df = spark.createDataFrame(data, "k string, i int, v bigint")
+    by = defaultdict(list)
+    for k, i, v in sorted(data, key=lambda t: t[1]):
+        by[k].append((i, v))
+    for chunk_rows in (7, None):
+        n = {(x.k, x.i): x.n for x in numbered(df, ["k"], [F.col("i")], "n", chunk_rows=chunk_rows).collect()}
+        s = {(x.k, x.i): x.s for x in running_sum(df, ["k"], [F.col("i")], F.col("v"), "s", chunk_rows=chunk_rows).collect()}
+        f = {(x.k, x.i): x.f for x in following(df, ["k"], [F.col("i")], "i", "f", chunk_rows=chunk_rows).collect()}
+        assert len(n) == len(s) == len(f) == 400
+        for k, line in by.items():
+            for j, (i, _) in enumerate(line):
+                assert n[k, i] == j + 1 and s[k, i] == sum(v for _, v in line[: j + 1]) and f[k, i] == (line[j + 1][0] if j + 1 < len(line) else None)

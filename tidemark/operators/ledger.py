@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import DAY_US, iso_micros
-from tidemark.operators import graph
+from tidemark.operators import graph, skew
 
 # fixed values: predicates of which a subject may have many at once, and the others that conflict
 MULTI_VALUED = ("supported-by", "affects", "contradicts")
@@ -26,8 +26,8 @@ def assertions(raw: DataFrame) -> DataFrame:
 
 def valid_windows(a: DataFrame) -> DataFrame:
     """``a`` with valid_from and valid_to: until the next assertion of the same subject and predicate, open at the end."""
-    line = Window.partitionBy("subject", "predicate").orderBy("valid_at", "id")
-    return a.filter("valid_at is not null").withColumn("valid_from", F.col("valid_at")).withColumn("valid_to", F.lead("valid_at").over(line))
+    timed = a.filter("valid_at is not null").withColumn("valid_from", F.col("valid_at"))
+    return skew.following(timed, ["subject", "predicate"], [F.col("valid_at"), F.col("id")], "valid_at", "valid_to")
 
 
 def holds(start: Column, end: Column, at: Column) -> Column:
@@ -135,5 +135,7 @@ def session_projection(events: DataFrame, now: int, stale_days: int = 14) -> Dat
 def last_other_session(events: DataFrame) -> DataFrame:
     """project, session, other_session: for each session of a project the latest other session before its first event."""
     s = events.filter("session is not null and project is not null").groupBy("project", "session").agg(F.min("arrived").alias("first"), F.max("arrived").alias("last"))
-    line = Window.partitionBy("project").orderBy("first", "session")
-    return s.select("project", "session", F.lag("session").over(line).alias("other_session"))
+    # the session before is the next one looking back
+    backwards = s.withColumn("_back", -F.col("first")).withColumn("_name", F.col("session"))
+    back = [F.col("_back"), F.concat(F.translate(F.hex("session"), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))]
+    return skew.following(backwards, ["project"], back, "_name", "other_session").select("project", "session", "other_session")

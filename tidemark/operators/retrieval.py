@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators import skew
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -227,11 +228,11 @@ def file_prior(hits: DataFrame, weights: DataFrame, *, key: str = "query_id") ->
 def budget_prefix(items: DataFrame, *, group: str, order: list[Column], text: str, budget: int) -> DataFrame:
     """``items`` of each group in order as long as their running token estimate stays within the budget.
 
-    ``used`` is the running sum.  The first item that does not fit ends its group's prefix.  Null texts cost 0.
+    ``used`` is the running sum.  The first item that does not fit ends its group's prefix.  Null texts cost 0,
+    items without a group are a group.  The texts themselves are dropped before anything moves.
     """
-    cost = F.coalesce(T.token_estimate(F.col(text)), F.lit(0))
-    used = F.sum(cost).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return items.withColumn("used", used).filter(F.col("used") <= budget)
+    costed = items.withColumn("_cost", F.coalesce(T.token_estimate(F.col(text)), F.lit(0))).drop(text)
+    return skew.running_sum(costed, [group], order, F.col("_cost"), "used").drop("_cost").filter(F.col("used") <= budget)
 
 
 def ranking_metrics(ranked: DataFrame, relevant: DataFrame, *, k: int = 10, key: str = "query_id", item: str = "doc_id") -> DataFrame:

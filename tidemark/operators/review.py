@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import graph
+from tidemark.operators import graph, skew
 
 
 def one_per_id(nodes: DataFrame, *cols: str) -> DataFrame:
@@ -87,9 +87,11 @@ def source_policy(lang: Column, text: Column) -> Column:
 
 
 def work_queue(items: DataFrame, *, group: str, order: list[Column], cost: Column, budget: int) -> DataFrame:
-    """The prefix of each group whose costs stay within the budget; the first item always."""
-    w = Window.partitionBy(group).orderBy(*order)
-    q = items.withColumn("place", F.row_number().over(w)).withColumn("used", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """The prefix of each group whose costs stay within the budget; the first item always.
+
+    Callers pass only the columns they need; ``cost`` is taken first.
+    """
+    q = skew.running_sum(skew.numbered(items.withColumn("_cost", cost), [group], order, "place"), [group], order, F.col("_cost"), "used").drop("_cost")
     return q.filter((F.col("used") <= budget) | (F.col("place") == 1))
 
 

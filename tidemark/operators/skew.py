@@ -139,3 +139,47 @@ def prefix_sums(rows: DataFrame, key: list[str], order: list[str], value: Column
     base = sums.withColumn("_base", F.sum("_t").over(Window.partitionBy(*key).orderBy("_b")) - F.col("_t")).drop("_t")
     inner = F.sum("_v").over(Window.partitionBy(*key, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_v")
     return v.withColumn("_inner", inner).join(base, [*key, "_b"]).withColumn(out, F.col("_base") + F.col("_inner")).drop("_v", "_b", "_inner", "_base")
+
+
+def _in_order(rows: DataFrame, key: list[str], order: list[Column], chunk_rows: int | None) -> tuple[DataFrame, list[str], Window]:
+    """``rows`` with chunk columns, the columns of a chunk, and its window; a key with nulls is a key like others."""
+    asked = [f"_o{i}" for i in range(len(order))]
+    keyed = rows.select("*", F.struct(*key).alias("_key"), *[o.alias(n) for n, o in zip(asked, order, strict=True)])
+    c = offset_chunks(keyed, ["_key"], asked, chunk_rows=chunk_rows)
+    return c, asked, Window.partitionBy("_key", "_chunk").orderBy("_n", *[F.col(a).asc_nulls_first() for a in asked])
+
+
+def numbered(rows: DataFrame, key: list[str], order: list[Column], out: str, *, chunk_rows: int | None = None) -> DataFrame:
+    """``rows`` with ``out``, the number from 1 within the key along ``order`` (ascending, nulls first).
+
+    Descending orders take negated columns.  Busy keys are numbered by chunks, so no task holds one whole.
+    """
+    c, asked, line = _in_order(rows, key, order, chunk_rows)
+    return c.withColumn(out, F.coalesce(F.col("_n") + 1, F.row_number().over(line).cast("bigint"))).drop("_key", "_n", "_chunk", *asked)
+
+
+def running_sum(rows: DataFrame, key: list[str], order: list[Column], value: Column, out: str, *, chunk_rows: int | None = None) -> DataFrame:
+    """``rows`` with ``out``, the sum of ``value`` over the rows of the key up to and with this one along ``order``.
+
+    Chunks are summed by themselves; the sums of the chunks before are added.  Rows that tie throughout are
+    summed one after the other in either order.
+    """
+    c, asked, line = _in_order(rows.withColumn("_v", value), key, order, chunk_rows)
+    inner = c.withColumn("_s", F.sum("_v").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    sums = c.groupBy("_key", "_chunk").agg(F.sum("_v").alias("_t"))
+    base = sums.withColumn("_base", F.sum("_t").over(Window.partitionBy("_key").orderBy("_chunk")) - F.col("_t")).filter("_chunk > 0").select("_key", "_chunk", "_base")
+    joined = inner.join(base, ["_key", "_chunk"], "left")
+    return joined.withColumn(out, F.col("_s") + F.coalesce("_base", F.lit(0))).drop("_key", "_n", "_chunk", "_v", "_s", "_base", *asked)
+
+
+def following(rows: DataFrame, key: list[str], order: list[Column], value: str, out: str, *, chunk_rows: int | None = None) -> DataFrame:
+    """``rows`` with ``out``, the ``value`` of the next row of the key along ``order``, null at the end.
+
+    The last row of a chunk gets the first value of the next one.
+    """
+    c, asked, line = _in_order(rows, key, order, chunk_rows)
+    at = F.struct("_n", *asked)
+    heads = c.groupBy("_key", "_chunk").agg(F.min_by(F.struct(F.col(value).alias("v")), at).alias("_head")).filter("_chunk > 0").select("_key", (F.col("_chunk") - 1).alias("_chunk"), "_head")
+    within = c.withColumn("_next", F.lead(F.struct(F.col(value).alias("v"))).over(line))
+    joined = within.join(heads, ["_key", "_chunk"], "left")
+    return joined.withColumn(out, F.coalesce("_next", "_head")["v"]).drop("_key", "_n", "_chunk", "_next", "_head", *asked)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import blank, iso_micros
-from tidemark.operators import ledger, reports
+from tidemark.operators import ledger, reports, skew
 from tidemark.plans import graph_queries
 from tidemark.sources import table
 
@@ -69,8 +69,9 @@ def recall_order(spark, d):
     j = cur.join(verdict_overlay(spark, d), "subject", "left").join(net_feedback(spark, d), "subject", "left")
     out = ledger.exclusion(F.lit(True), F.lit(True), F.col("valid_at") > NOW - 30 * 86_400_000_000, F.coalesce("lifecycle", F.lit("active")) == "active", F.col("quarantined"))
     j = j.withColumn("excluded", out)
-    order = [F.coalesce("net", F.lit(0)).desc(), F.col("valid_at").desc(), F.col("subject")]
-    return reports.ranked(j.withColumn("part", F.coalesce("excluded", F.lit("recalled"))), ["part"], order, "place").select("subject", "id", "part", "place")
+    order = [-F.coalesce("net", F.lit(0)), -F.col("valid_at"), F.col("subject")]
+    j = j.select("subject", "id", "net", "valid_at", F.coalesce("excluded", F.lit("recalled")).alias("part"))
+    return skew.numbered(j, ["part"], order, "place").select("subject", "id", "part", "place")
 
 
 def ttl_filter(spark, d):

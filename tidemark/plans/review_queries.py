@@ -53,8 +53,8 @@ def redacted_documents(spark, d):
 
 
 def work_queue(spark, d):
-    docs = table(spark, d, "documents").filter("text is not null")
-    q = review.work_queue(docs, group="doc_kind", order=[F.col("doc_id")], cost=F.ceil(F.length("text") / 4), budget=1_000)
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_kind", "doc_id", F.ceil(F.length("text") / 4).alias("cost"))
+    q = review.work_queue(docs, group="doc_kind", order=[F.col("doc_id")], cost=F.col("cost"), budget=1_000)
     return q.select("doc_kind", "doc_id", "place", "used")
 
 
