@@ -7,6 +7,7 @@ all functions run in parallel.
 from __future__ import annotations
 
 from collections import defaultdict
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,12 +15,35 @@ from pyspark.sql import functions as F
 
 EXIT = -1
 
-# fixed values: substrings that make a statement a source, a sink or a sanitizer, and of what
+CONTEXTS = ("code", "shell", "sql", "html", "url", "fs", "path")
+
+
+class Rule(NamedTuple):
+    """A source emits taint of some contexts, a sink is dangerous in one, a sanitizer clears some; none means all."""
+
+    id: str
+    kind: str
+    match: tuple[str, ...]
+    contexts: tuple[str, ...] = CONTEXTS
+
+
+# fixed values: substrings, in lower case, that make a statement a source, a sink or a sanitizer
 TAINT_RULES = (
-    ("source", "request.", "web"), ("source", "input(", "web"), ("source", "argv", "web"), ("source", "getenv", "env"), ("source", "read(", "file"),
-    ("sink", "execute(", "sql"), ("sink", "eval(", "code"), ("sink", "exec(", "code"), ("sink", "system(", "shell"), ("sink", "innerhtml", "html"), ("sink", "write(", "file"),
-    ("sanitizer", "escape(", "all"), ("sanitizer", "sanitize", "all"), ("sanitizer", "parseint", "all"),
-)
+    Rule("source.http-input", "source", ("req.query", "request.query", "req.params", "request.params", "req.body", "request.body", "req.headers", "request.headers")),
+    Rule("source.url-search-params", "source", ("searchparams.get", "urlsearchparams")),
+    Rule("source.env", "source", ("process.env",)),
+    Rule("source.fs-read", "source", ("readfile", "readdir")),
+    Rule("source.parsed-json", "source", ("json.parse",)),
+    Rule("source.child-args", "source", ("argv",)),
+    Rule("sink.code-eval", "sink", ("eval(", "new function("), ("code",)),
+    Rule("sink.shell-exec", "sink", ("exec(", "execsync(", "spawn(", "spawnsync(", "execfile("), ("shell",)),
+    Rule("sink.sql-concat", "sink", (".query(", ".execute("), ("sql",)),
+    Rule("sink.html-inject", "sink", ("innerhtml", "dangerouslysetinnerhtml", "document.write("), ("html",)),
+    Rule("sink.fs-write-path", "sink", ("writefile", "appendfile", "unlink", "rmsync", "mkdir"), ("path",)),
+    Rule("sink.url-fetch", "sink", ("fetch(", "http.request(", "https.request("), ("url",)),
+    Rule("sanitizer.schema-validate", "sanitizer", ("safeparse(", ".validate(", "z.object", "yup.object", "joi.object")),
+    Rule("sanitizer.uri-encode", "sanitizer", ("encodeuricomponent(",), ("url",)),
+)
 
 
 def post_dominators(nodes: list[int], edges: list[tuple[int, int]]) -> dict[int, set[int]]:
@@ -83,27 +107,41 @@ def reaching_definitions(defs: dict[int, set[str]], uses: dict[int, set[str]], e
     return {(d, n, v) for n in nodes for d, v in into[n] if v in uses.get(n, set())}
 
 
-def taint_paths(texts: dict[int, str], data: set[tuple[int, int, str]], rules=TAINT_RULES) -> list[tuple[int, int, str, str]]:
-    """(source, sink, source kind, sink kind) joined by data edges that pass no sanitizer."""
-    kind: dict[int, dict[str, str]] = {n: {r: what for r, part, what in rules if part in t.lower()} for n, t in texts.items()}
+def taint_paths(texts: dict[int, str], data: set[tuple[int, int, str]], rules: tuple[Rule, ...] = TAINT_RULES) -> list[tuple[int, int, str, str, str, list[int]]]:
+    """(source, sink, source rule, sink rule, context, statements from source to sink).
+
+    A source's contexts go along the data edges.  A sanitizer takes away what it clears, at the source and sink
+    statements themselves too.  A sink is reached if its own context arrives; of several ways the shortest is
+    told, of those the least.
+    """
+    hits = {n: [r for r in rules if any(m in t.lower() for m in r.match)] for n, t in texts.items()}
     succ: dict[int, set[int]] = defaultdict(set)
     for d, u, _ in data:
         succ[d].add(u)
+    keeps = {n: set(CONTEXTS).difference(*(r.contexts for r in rs if r.kind == "sanitizer")) for n, rs in hits.items()}
     out = []
     for s in sorted(texts):
-        if "source" not in kind[s]:
-            continue
-        seen, work = {s}, [s]
-        while work:
-            n = work.pop()
-            if "sanitizer" in kind.get(n, {}) and n != s:
-                continue
-            if "sink" in kind.get(n, {}) and n != s:
-                out.append((s, n, kind[s]["source"], kind[n]["sink"]))
-            for u in succ[n]:
-                if u not in seen:
-                    seen.add(u)
-                    work.append(u)
+        for source in (r for r in hits[s] if r.kind == "source"):
+            for context in source.contexts:
+                if context not in keeps[s]:
+                    continue
+                came: dict[int, int | None] = {s: None}
+                level = [s]
+                while level:
+                    after = []
+                    for n in level:
+                        for u in sorted(succ[n]):
+                            if u not in came and context in keeps.get(u, CONTEXTS):
+                                came[u] = n
+                                after.append(u)
+                    level = sorted(after)
+                for n in sorted(came):
+                    for sink in (r for r in hits.get(n, ()) if r.kind == "sink" and context in r.contexts):
+                        way, at = [], n
+                        while at is not None:
+                            way.append(at)
+                            at = came[at]
+                        out.append((s, n, source.id, sink.id, context, way[::-1]))
     return sorted(out)
 
 
@@ -122,15 +160,16 @@ def data_edges(statements: DataFrame, flow: DataFrame) -> DataFrame:
     return s.groupBy("fn").cogroup(f.groupBy("fn")).applyInPandas(run, "fn string, src bigint, dst bigint, name string")
 
 
-def taint(statements: DataFrame, data: DataFrame) -> DataFrame:
-    """fn, source, sink, source_kind, sink_kind.  ``statements``: fn, id, text.  ``data``: as ``data_edges`` gives."""
+def taint(statements: DataFrame, data: DataFrame, rules: tuple[Rule, ...] = TAINT_RULES) -> DataFrame:
+    """fn, source, sink, source_rule, sink_rule, context, way.  ``statements``: fn, id, text.  ``data``: as ``data_edges`` gives."""
+    names = ["fn", "source", "sink", "source_rule", "sink_rule", "context", "way"]
 
     def run(key, s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        found = taint_paths(dict(zip(s["id"], s["text"].fillna(""), strict=True)), set(zip(e["src"], e["dst"], e["name"], strict=True)))
-        return pd.DataFrame([(key[0], *r) for r in found], columns=["fn", "source", "sink", "source_kind", "sink_kind"])
+        found = taint_paths(dict(zip(s["id"], s["text"].fillna(""), strict=True)), set(zip(e["src"], e["dst"], e["name"], strict=True)), rules)
+        return pd.DataFrame([(key[0], *r) for r in found], columns=names)
 
     s, e = statements.select("fn", "id", "text").toDF("fn", "id", "text"), data.select("fn", "src", "dst", "name").toDF("fn", "src", "dst", "name")
-    return s.groupBy("fn").cogroup(e.groupBy("fn")).applyInPandas(run, "fn string, source bigint, sink bigint, source_kind string, sink_kind string")
+    return s.groupBy("fn").cogroup(e.groupBy("fn")).applyInPandas(run, "fn string, source bigint, sink bigint, source_rule string, sink_rule string, context string, way array<bigint>")
 
 
 def control_edges(flow: DataFrame) -> DataFrame:

@@ -244,6 +244,29 @@ def community_kernel(weights: DataFrame, group: str, *, max_edges: int = 200_000
     return weights.select(group, "a", "b", "w").groupBy(group).applyInPandas(run, f"{group} {kind}, node_id string, community int")
 
 
+def communities_by_group(weights: DataFrame, group: str, *, max_edges: int = 200_000) -> DataFrame:
+    """group, node_id, community of every group: by the modularity kernel, larger groups by label propagation.
+
+    A community bears the name of its least node.  Communities of a single node do not occur, as every node has a
+    neighbour, unless modularity parts it; those are left out.
+    """
+    size = weights.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    scratch = Scratch(weights.sparkSession, "by-group")
+    size, _ = scratch.put(size, "sizes")
+    small = community_kernel(weights.join(size.filter(F.col("_n") <= max_edges).select(group), group, "left_semi"), group, max_edges=max_edges)
+    found = small.select(group, "node_id", F.col("community").cast("string").alias("_c"))
+    big = size.filter(F.col("_n") > max_edges)
+    if big.limit(1).count():
+        rest = weights.join(big.select(group), group, "left_semi")
+        # nodes of one group have edges within it alone, so all groups may spread their labels at once
+        labels = label_communities(rest.select("a", "b", "w"))
+        owner = rest.select(F.explode(F.array("a", "b")).alias("node_id"), group).distinct()
+        found = found.unionByName(labels.join(owner, "node_id").select(group, "node_id", F.col("community").alias("_c")))
+    found, _ = scratch.put(found, "found")
+    names = found.groupBy(group, "_c").agg(F.min("node_id").alias("community"), F.count(F.lit(1)).alias("_m")).filter("_m > 1").drop("_m")
+    return found.join(names, [group, "_c"]).select(group, "node_id", "community")
+
+
 def expand_from_seeds(edges: DataFrame, seeds: DataFrame, *, hops: int = 2, max_nodes: int = 200, decay: float = 0.5) -> DataFrame:
     """node_id, distance, rank: bounded expansions, rank = seed score times ``decay`` per hop.
 

@@ -65,11 +65,64 @@ def supported(a: DataFrame, sources: DataFrame) -> DataFrame:
     return by.join(known, "source", "left").groupBy("id").agg(F.count("source").alias("n_supporters"), F.count("k").alias("n_found"))
 
 
+def alias_links(decisions: DataFrame) -> DataFrame:
+    """src, dst of the aliases in force: of each pair (entity_a, entity_b, either way round) the latest decision counts.
+
+    ``decisions``: id, kind ('establish' or 'reverse'), entity_a, entity_b, at.  Ties in time go to the greatest id.
+    """
+    pair = [F.least("entity_a", "entity_b").alias("src"), F.greatest("entity_a", "entity_b").alias("dst")]
+    d = decisions.filter("entity_a is not null and entity_b is not null and entity_a <> entity_b and kind in ('establish', 'reverse')")
+    return d.groupBy(*pair).agg(F.max_by("kind", F.struct("at", "id")).alias("kind")).filter("kind = 'establish'").select("src", "dst")
+
+
 def alias_canonical(links: DataFrame) -> DataFrame:
     """node_id, component: the least name of each group of aliases (src, dst); established by any chain of links."""
     return graph.components(links.select("src", "dst", F.lit("alias").alias("rel")))
 
 
+def current(a: DataFrame, instant: int) -> DataFrame:
+    """Assertions known and valid at an instant, and not past the next of the same subject and predicate by then."""
+    seen = a.filter((F.col("known_at") <= instant) & (F.col("valid_at") <= instant))
+    return seen.filter(F.col("predicate").isin(*MULTI_VALUED)).unionByName(seen.filter(~F.col("predicate").isin(*MULTI_VALUED)).join(as_of(a, instant).select("id"), "id", "left_semi"))
+
+
+def relations_among(a: DataFrame, refs: DataFrame, instant: int) -> DataFrame:
+    """id, subject, predicate, object of current assertions with both ends among ``refs`` (column ref)."""
+    r = refs.select("ref").distinct()
+    return current(a, instant).join(r.select(F.col("ref").alias("subject")), "subject", "left_semi").join(r.select(F.col("ref").alias("object")), "object", "left_semi").select("id", "subject", "predicate", "object")
+
+
+def adjacency(a: DataFrame, instant: int) -> DataFrame:
+    """ref, n_out, n_in, n_neighbours over current assertions; loops count both ways, partial sums keep hubs cheap."""
+    c = current(a, instant).select("subject", "object").dropna()
+    ends = c.select(F.col("subject").alias("ref"), F.col("object").alias("other"), F.lit(1).alias("o")).unionByName(c.select(F.col("object").alias("ref"), F.col("subject").alias("other"), F.lit(0).alias("o")))
+    return ends.groupBy("ref", "other").agg(F.sum("o").alias("o"), F.sum(1 - F.col("o")).alias("i")).groupBy("ref").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"), F.count(F.lit(1)).alias("n_neighbours"))
+
+
+def superseded_by(a: DataFrame) -> DataFrame:
+    """ref, n, latest_id, latest_subject: what supersedes a thing, the latest of it; ties of time to the least id."""
+    s = a.filter("predicate = 'supersedes' and object is not null")
+    merit = F.struct((-F.coalesce("valid_at", F.lit(0))).alias("t"), "id")
+    g = s.groupBy(F.col("object").alias("ref")).agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("id", "subject"), merit).alias("b"))
+    return g.select("ref", "n", F.col("b.id").alias("latest_id"), F.col("b.subject").alias("latest_subject"))
+
+
+def timeline(a: DataFrame) -> DataFrame:
+    """id, subject, place, next_id: every assertion of a subject in order of time, then id; nothing is folded."""
+    t = a.filter("subject is not null and valid_at is not null").select("id", "subject", "valid_at")
+    order = [F.col("valid_at"), F.col("id")]
+    return skew.following(skew.numbered(t, ["subject"], order, "place"), ["subject"], order, "id", "next_id").select("id", "subject", "place", "next_id")
+
+
+def provenance_counts(a: DataFrame, sources: DataFrame, instant: int) -> DataFrame:
+    """repo, n_considered, n_current, n_supported of assertions by the repository of their first supporter."""
+    src = sources.filter("id is not null").groupBy(F.col("id").alias("source")).agg(F.min("repo_id").alias("repo"))
+    now = current(a, instant).select("id", F.lit(1).alias("now"))
+    first = a.select("id", F.get("supported_by", F.lit(0)).alias("source"), F.coalesce(F.size("supported_by"), F.lit(0)).alias("n"))
+    j = first.join(src, "source", "left").join(now, "id", "left")
+    return j.groupBy("repo").agg(F.count(F.lit(1)).alias("n_considered"), F.count("now").alias("n_current"), F.count(F.when(F.col("n") > 0, 1)).alias("n_supported"))
+
+
 #: What a message decides about its subject, by its sensitivity; the tables hold no decisions of their own.
 DECISIONS = {"internal": "supersede", "public": "accept", "confidential": "quarantine", "restricted": "retract"}
 SIGNALS = {"memory.observed": 1, "mcp.tool-invoked": -1, "file.changed": -1}

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import flow_queries, graph_queries, ledger_queries, link_queries, problems, review_queries, store_queries, text_queries
+from tidemark.plans import flow_queries, graph_queries, ledger_queries, link_queries, problems, review_queries, search_queries, store_queries, text_queries
 
-MODULES = (problems, graph_queries, text_queries, link_queries, ledger_queries, flow_queries, review_queries, store_queries)
+MODULES = (problems, graph_queries, text_queries, link_queries, ledger_queries, flow_queries, review_queries, store_queries, search_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
