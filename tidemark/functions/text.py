@@ -95,3 +95,45 @@ def compact_signature(signature: Column, width: int = 240) -> Column:
     """A signature without comments, on one line, at most ``width`` characters."""
     s = F.regexp_replace(signature, r"(?s)/\*.*?\*/", " ")
     return F.substring(collapse(F.regexp_replace(s, r"//[^\n]*", " ")), 1, width)
+
+
+def canonical_json(json: Column) -> Column:
+    """A JSON text with its keys in order and no white space; null where it does not parse."""
+    return F.to_json(F.try_parse_json(json))
+
+
+def etag(json: Column) -> Column:
+    """A digest of a JSON text that does not change with the order of keys or white space."""
+    return F.sha2(canonical_json(json), 256)
+
+
+# fixed values: short forms of negations, and words that negate
+_SHORT = (("can't", "can not"), ("cannot", "can not"), ("won't", "will not"), ("shan't", "shall not"), ("ain't", "is not"))
+_NEGATIONS = r"\b(?:not|no|never|none|nothing|nobody|neither|nor|without)\b"
+
+
+def expand_negation(text: Column) -> Column:
+    """Short forms such as "don't" written out, in lower case."""
+    t = F.regexp_replace(F.lower(text), "’", "'")
+    for short, full in _SHORT:
+        t = F.regexp_replace(t, rf"\b{short}\b", full)
+    return F.regexp_replace(t, r"\b([a-z]+)n't\b", "$1 not")
+
+
+def negated(text: Column) -> Column:
+    return expand_negation(text).rlike(_NEGATIONS)
+
+
+def without_negation(text: Column) -> Column:
+    """The words of a text but for its negations, so that a claim and its denial meet."""
+    return collapse(F.regexp_replace(F.regexp_replace(expand_negation(text), r"\b(?:does|do|did) not\b", "not"), _NEGATIONS, " "))
+
+
+def expression_form(expr: Column) -> Column:
+    """An expression as it is compared: lower case, one spelling of equal and not-equal, no blanks around signs, no outer parentheses."""
+    e = F.lower(collapse(expr))
+    e = F.regexp_replace(e, "<>|!==", "!=")
+    e = F.regexp_replace(e, "===?", "=")
+    e = F.regexp_replace(e, r"\s*([^\w\s'\"]+)\s*", "$1")
+    e = F.regexp_replace(e, ";+$", "")
+    return F.when(e.rlike(r"^\([^()]*\)$"), F.regexp_replace(e, r"^\(|\)$", "")).otherwise(e)

@@ -248,23 +248,38 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, *, k: int = 10, key:
     )
 
 
-def fnv1a(data: np.ndarray) -> int:
-    h = 0x811C9DC5
-    for b in data:
-        h = ((h ^ int(b)) * 0x01000193) & 0xFFFFFFFF
+def fnv1a(windows: np.ndarray) -> np.ndarray:
+    """32-bit FNV-1a of every row of bytes."""
+    h = np.full(len(windows), 0x811C9DC5, np.uint64)
+    for column in windows.T:
+        h = ((h ^ column.astype(np.uint64)) * np.uint64(0x01000193)) & np.uint64(0xFFFFFFFF)
     return h
 
 
-def char_ngram_vector(text: str, dim: int = 512, low: int = 3, high: int = 6) -> np.ndarray:
-    """A unit vector of signed hash buckets of the character n-grams of a lower-cased text with borders."""
-    out = np.zeros(dim, np.float32)
-    t = f" {text.lower().strip()} "
+def char_ngram_vectors(texts: list[str], dim: int = 512, low: int = 3, high: int = 6) -> np.ndarray:
+    """[texts, dim] unit vectors of signed hash buckets of the character n-grams of lower-cased texts with borders.
+
+    All n-grams of a length are hashed at once; characters of several bytes are grouped by their length in bytes.
+    """
+    out = np.zeros((len(texts), dim), np.float32)
     for n in range(low, high + 1):
-        for i in range(len(t) - n + 1):
-            h = fnv1a(t[i : i + n].encode())
-            out[h % dim] += 1.0 if h & 0x80000000 else -1.0
-    norm = np.linalg.norm(out)
-    return out / norm if norm else out
+        grams: dict[int, tuple[list[bytes], list[int]]] = {}
+        for i, text in enumerate(texts):
+            t = f" {text.lower().strip()} "
+            for j in range(len(t) - n + 1):
+                g = t[j : j + n].encode("utf-8", "surrogatepass")
+                parts, owners = grams.setdefault(len(g), ([], []))
+                parts.append(g)
+                owners.append(i)
+        for width, (parts, owners) in grams.items():
+            h = fnv1a(np.frombuffer(b"".join(parts), np.uint8).reshape(-1, width))
+            np.add.at(out, (owners, (h % np.uint64(dim)).astype(np.int64)), np.where(h & np.uint64(0x80000000), 1.0, -1.0).astype(np.float32))
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.where(norm > 0, out / np.maximum(norm, 1e-30), 0)
+
+
+def char_ngram_vector(text: str, dim: int = 512, low: int = 3, high: int = 6) -> np.ndarray:
+    return char_ngram_vectors([text], dim, low, high)[0]
 
 
 def embed_names(names: DataFrame, *, text: str = "name", dim: int = 512) -> DataFrame:
@@ -272,6 +287,6 @@ def embed_names(names: DataFrame, *, text: str = "name", dim: int = 512) -> Data
 
     def run(frames):
         for f in frames:
-            yield pd.DataFrame({text: f[text], "vector": [char_ngram_vector(t, dim) for t in f[text]]})
+            yield pd.DataFrame({text: f[text], "vector": list(char_ngram_vectors(f[text].tolist(), dim))})
 
     return names.select(text).dropna().distinct().mapInPandas(run, f"{text} string, vector array<float>")

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
 from tidemark.operators import graph, reports, stores
 from tidemark.plans import graph_queries, ledger_queries
-from tidemark.sources import table
+from tidemark.sources import files, table
+
+#: The stated ignore file.
+IGNORED = "# generated\n/export/\n*.sql\n!ledger/**/*.sql\nvector_*\n"
 
 
 def scan_kind(spark, d):
@@ -106,6 +110,25 @@ def guard_chains(spark, d):
     return stores.guard_chains(table(spark, d, "edges"))
 
 
+def payload_etag(spark, d):
+    e = table(spark, d, "intelligence_events").filter("payload is not null")
+    return e.select("line_no", T.etag(F.col("payload")).alias("etag"))
+
+
+def claim_form(spark, d):
+    docs = table(spark, d, "documents").filter("doc_kind = 'memory-claim' and text is not null")
+    return docs.select("doc_id", T.negated(F.col("text")).alias("negated"), F.md5(T.without_negation(F.col("text"))).alias("form"))
+
+
+def expression_parity(spark, d):
+    n = table(spark, d, "nodes").filter("expr is not null and id is not null").groupBy("id").agg(F.min("expr").alias("expr"))
+    return n.groupBy(T.expression_form(F.col("expr")).alias("form")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def discovered_files(spark, d):
+    return files.discover(table(spark, d, "source_files"), files.parse_ignore(IGNORED))
+
+
 def package_dossier(spark, d):
     n = table(spark, d, "nodes")
     return stores.scope_dossier(n, F.nullif(F.regexp_extract("file", "^([^/]+/[^/]+)/", 1), F.lit("")))
@@ -116,6 +139,7 @@ QUERIES = {
     for f in (
         scan_kind, scan_rel, point_get, confident_edges, redacted_meta, derived_kinds, parsed_ids, remove_by_file, update_scope, apply_delta, cluster_issues, orphan_vectors,
         record_merge, gap_summary, size_percentiles, neighbour_pages, doc_links, class_facts, guard_chains, package_dossier,
+        payload_etag, claim_form, expression_parity, discovered_files,
     )
 }
 
@@ -174,4 +198,24 @@ SQL = {
   f as (select scope, string_agg(id, ',' order by id) first_ids from (select *, row_number() over (partition by scope order by id) k from n) where k <= 5 group by scope)
   select scope, count(*) as n_nodes, count(*) filter (kind = 'symbol') as n_symbols, count(*) filter (kind = 'route') as n_routes, any_value(first_ids) as first_ids, count(*) > 5 as truncated from n join f using (scope) group by scope""",
 }
+
+def _expanded(x: str) -> str:
+    out = f"replace(lower({x}), chr(8217), chr(39))"
+    for short, full in T._SHORT:
+        out = f"regexp_replace({out}, '\\b{short.replace(chr(39), chr(39) * 2)}\\b', '{full}', 'g')"
+    return f"regexp_replace({out}, '\\b([a-z]+)n''t\\b', '\\1 not', 'g')"
+
+
+_X = _expanded("text")
+_FORM = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace(expr, '\s+', ' ', 'g'))), '<>|!==', '!=', 'g'), '===?', '=', 'g'), '\s*([^\w\s''\"]+)\s*', '\1', 'g'), ';+$', ''), '^$', '')"
+SQL["payload_etag"] = """select line_no, case when json_valid(payload) then sha256('{' || array_to_string(list_transform(list_sort(json_keys(payload)), lambda k: '"' || k || '":' || cast(json_extract(payload, '$.' || k) as varchar)), ',') || '}') end as etag
+  from intelligence_events where payload is not null"""
+SQL["claim_form"] = f"""select doc_id, regexp_matches({_X}, '{T._NEGATIONS}') as negated, md5(trim(regexp_replace(regexp_replace(regexp_replace({_X}, '\\b(?:does|do|did) not\\b', 'not', 'g'), '{T._NEGATIONS}', ' ', 'g'), '\\s+', ' ', 'g'))) as form
+  from documents where doc_kind = 'memory-claim' and text is not null"""
+SQL["expression_parity"] = f"""select case when regexp_matches(f, '^\\([^()]*\\)$') then regexp_replace(f, '^\\(|\\)$', '', 'g') else f end as form, count(*) as n from (
+  select {_FORM} as f from (select id, min(expr) expr from nodes where expr is not null and id is not null group by id)) group by 1"""
+SQL["discovered_files"] = r"""select file, case e when '.ts' then 'ts' when '.js' then 'js' when '.py' then 'py' when '.java' then 'java' when '.go' then 'go' when '.sql' then 'sql' when '.md' then 'md' end as lang
+  from (select distinct file, lower(regexp_extract(file, '(\.[A-Za-z0-9]+)$', 1)) e from source_files where file is not null) where e in ('.ts', '.js', '.py', '.java', '.go', '.sql', '.md')
+  and not regexp_matches(file, '(^|/)(\.git|node_modules|dist|build|target|__pycache__|\.venv|vendor)/|\.min\.(js|css)$')
+  and not case when regexp_matches(file, '(^|/)vector_[^/]*(/|$)') then true when regexp_matches(file, '^ledger/.*[^/]*\.sql$') then false when file like '%.sql' then true else file like 'export/%' end"""
 SQL["gap_summary"] = f"select gap, count(*) as n from ({ledger_queries.SQL['gaps']}) group by gap"
