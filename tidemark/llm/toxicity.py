@@ -43,7 +43,7 @@ LONG, WINDOW = 16, 12
 #: Weight of the penalty on squared weights, in sentences.
 PENALTY = 0.1
 #: Rounds of expectation maximisation, and how often the categories are fitted again with what was found.
-ROUNDS, PASSES = 10, 2
+ROUNDS, PASSES = 20, 2
 #: Belief, before any mark is seen, in how often a mark says yes of a harmless document and no of an offensive one.
 NOISE = (0.05, 0.05)
 #: How many times rarer offensive documents are in the corpus than among the marked ones, whom reviewers were sent.
@@ -234,23 +234,45 @@ class Layout:
         self.scale = 1 / np.sqrt(np.maximum(np.bincount(self.row, per_word[self.word], self.n) + size + 1, 1))
 
 
+class Places:
+    """The places of features that a fit can learn from, numbered closely: those of words, and of pairs seen twice."""
+
+    def __init__(self, units: list[tuple[str, ...]], vocabulary: Words):
+        pairs = np.bincount(Layout(units, vocabulary).pair, minlength=1 << BITS)
+        self.used = pairs >= 2
+        self.used[vocabulary.table()[1]] = True
+        self.number = np.cumsum(self.used) - 1
+        self.n = int(self.used.sum())
+
+    def spread(self, models: np.ndarray) -> np.ndarray:
+        """Models over these places as models over all places."""
+        out = np.zeros((len(models), (1 << BITS) + models.shape[1] - self.n))
+        out[:, np.flatnonzero(self.used)] = models[:, : self.n]
+        out[:, 1 << BITS :] = models[:, self.n :]
+        return out
+
+
 class Rows(Layout):
     """Sentences as sparse rows of length one: words, whose features are added up once a word, and word pairs."""
 
-    def __init__(self, units: list[tuple[str, ...]], vocabulary: Words):
+    def __init__(self, units: list[tuple[str, ...]], vocabulary: Words, places: Places):
         super().__init__(units, vocabulary)
-        self.vocabulary, self.table = vocabulary, vocabulary.table()
+        self.n_words, self.k = len(vocabulary.places), places.n
+        of, place = vocabulary.table()
+        self.table = of, places.number[place]
+        known = places.used[self.pair]
+        self.pair, self.pair_row = places.number[self.pair[known]], self.pair_row[known]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         of, place = self.table
-        by_word = np.bincount(of, w[place], len(self.vocabulary.places))
+        by_word = np.bincount(of, w[place], self.n_words)
         return self.scale * (np.bincount(self.row, by_word[self.word], self.n) + np.bincount(self.pair_row, w[self.pair], self.n))
 
     def back(self, g: np.ndarray) -> np.ndarray:
         of, place = self.table
         g = g * self.scale
-        by_word = np.bincount(self.word, g[self.row], len(self.vocabulary.places))
-        return np.bincount(place, by_word[of], 1 << BITS) + np.bincount(self.pair, g[self.pair_row], 1 << BITS)
+        by_word = np.bincount(self.word, g[self.row], self.n_words)
+        return np.bincount(place, by_word[of], self.k) + np.bincount(self.pair, g[self.pair_row], self.k)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -258,14 +280,12 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _odds(x: Rows, extra: np.ndarray, w: np.ndarray) -> np.ndarray:
-    k = 1 << BITS
-    return x.dot(w[:k]) + extra @ w[k:-1] + w[-1]
+    return x.dot(w[: x.k]) + extra @ w[x.k : -1] + w[-1]
 
 
 def _fit(x: Rows, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray | None = None, steps: int = 40, penalty: float = PENALTY, memory: int = 8) -> np.ndarray:
     """Weights (features, earlier categories, bias) of a penalised logistic model with soft labels, by L-BFGS."""
-    k = 1 << BITS
-    w = np.zeros(k + extra.shape[1] + 1) if start is None else start.copy()
+    w = np.zeros(x.k + extra.shape[1] + 1) if start is None else start.copy()
     if start is None:
         share = np.clip((weight * y).sum() / max(weight.sum(), 1e-9), 1e-4, 1 - 1e-4)
         w[-1] = np.log(share / (1 - share))
@@ -315,7 +335,7 @@ def _squash(z: np.ndarray) -> np.ndarray:
     return np.clip(z, -8, 8) / 8
 
 
-def fit_categories(units: list[tuple[str, ...]], x: Rows, vocabulary: Words, labels: np.ndarray, weight: np.ndarray, folds: int = FOLDS) -> tuple[np.ndarray, np.ndarray]:
+def fit_categories(units: list[tuple[str, ...]], x: Rows, vocabulary: Words, places: Places, labels: np.ndarray, weight: np.ndarray, folds: int = FOLDS) -> tuple[np.ndarray, np.ndarray]:
     """(models [categories, weights], out-of-fold log-odds [rows, categories]) of all categories but the last.
 
     ``labels`` [rows, categories] are 0, 1, or NaN where a row says nothing about a category; a row that says
@@ -324,7 +344,7 @@ def fit_categories(units: list[tuple[str, ...]], x: Rows, vocabulary: Words, lab
     n, width = labels.shape
 
     def some(at: np.ndarray) -> Rows:
-        return Rows([units[i] for i in at], vocabulary)
+        return Rows([units[i] for i in at], vocabulary, places)
 
     fold = np.random.default_rng(7).integers(0, folds, n)
     told = ~np.isnan(labels).all(1)
@@ -335,7 +355,7 @@ def fit_categories(units: list[tuple[str, ...]], x: Rows, vocabulary: Words, lab
             parts.append((some(at), at, some(rest), rest))
     everyone = np.flatnonzero(told)
     known_rows = some(everyone)
-    models = np.zeros((width, (1 << BITS) + width + 1))
+    models = np.zeros((width, x.k + width + 1))
     earlier = np.zeros((n, width))
     for c in range(width):
         y, w = np.nan_to_num(labels[:, c]), weight * ~np.isnan(labels[:, c])
@@ -463,8 +483,8 @@ def train(marked: pd.DataFrame) -> dict:
             keep.append(i)
     sample = Marked(docs, yes[keep], no[keep])
     units, vocabulary = list(number), Words()
-    Rows(units, vocabulary)  # numbers every word before features are tabled
-    x = Rows(units, vocabulary)
+    places = Places(units, vocabulary)
+    x = Rows(units, vocabulary, places)
     fixed = np.full(x.n, np.nan)
     fixed[example_of] = [float(bool(c)) for c, _ in examples]
     labels = np.full((x.n, len(names) - 1), np.nan)
@@ -474,7 +494,7 @@ def train(marked: pd.DataFrame) -> dict:
     labels[example_of] = [[float(c == k) for k in names[:-1]] for c, _ in examples]
     weight = np.where(np.isnan(fixed), seen, 1.0)
     for _ in range(PASSES):
-        models, earlier = fit_categories(units, x, vocabulary, labels, weight)
+        models, earlier = fit_categories(units, x, vocabulary, places, labels, weight)
         w, y, post, score, noise = fit_verdict(x, earlier, sample, fixed)
         # what was found to be offensive is an example of its most likely category
         found = np.flatnonzero((y > 0.9) & np.isnan(fixed))
@@ -482,7 +502,7 @@ def train(marked: pd.DataFrame) -> dict:
         labels[found, earlier[found].argmax(1)] = 1.0
         labels[(y < 0.05) & np.isnan(fixed) & (seen > 0)] = 0.0
     threshold, precision, recall = _threshold(score, post)
-    return {"models": np.vstack([models, w]).astype(np.float32), "threshold": threshold, "suspects": suspects, "noise": noise, "held_out": {"precision": precision, "recall": recall, "documents": sample.n}}
+    return {"models": places.spread(np.vstack([models, w])).astype(np.float32), "threshold": threshold, "suspects": suspects, "noise": noise, "held_out": {"precision": precision, "recall": recall, "documents": sample.n}}
 
 
 class Scorer:
