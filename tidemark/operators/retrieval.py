@@ -248,8 +248,10 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, *, k: int = 10, key:
     )
 
 
-def fnv1a(windows: np.ndarray) -> np.ndarray:
-    """32-bit FNV-1a of every row of bytes."""
+def fnv1a(windows: np.ndarray | bytes) -> np.ndarray | int:
+    """32-bit FNV-1a of every row of an array of bytes, or of one text of bytes."""
+    if isinstance(windows, bytes):
+        return int(fnv1a(np.frombuffer(windows, np.uint8).reshape(1, -1))[0])
     h = np.full(len(windows), 0x811C9DC5, np.uint64)
     for column in windows.T:
         h = ((h ^ column.astype(np.uint64)) * np.uint64(0x01000193)) & np.uint64(0xFFFFFFFF)
