@@ -447,8 +447,8 @@ def _threshold(score: np.ndarray, post: np.ndarray) -> tuple[float, float, float
     order = np.argsort(-score, kind="stable")
     s, hit, miss = score[order], np.cumsum(post[order]), RARER * np.cumsum(1 - post[order])
     f1 = np.where(np.append(s[1:] != s[:-1], True), 2 * hit / (hit + miss + post.sum()), -1)
-    # of thresholds that are as good, the one nearest to one half
-    good = np.flatnonzero(f1 >= f1.max() - 0.002)
+    # of thresholds that are as good but for about one document, the one nearest to one half
+    good = np.flatnonzero(f1 >= f1.max() - max(0.002, 1 / (1 + post.sum())))
     high, low = s[good], np.append(s, 0.0)[good + 1]
     between = np.where((low < 0.5) & (high >= 0.5), 0.5, (high + low) / 2)
     best = np.abs(between - 0.5).argmin()
