@@ -179,11 +179,12 @@ def _tops(roots: DataFrame, with_path: bool) -> DataFrame:
     return roots.select("_k", "_p", "_id", "_size", F.col("_id").alias("_root"), zero.alias("_depth"), zero.alias("_lo"), path.alias("_path"))
 
 
-def descendants(nested: DataFrame, of: DataFrame, *, width: int = 65_536) -> DataFrame:
+def descendants(nested: DataFrame, of: DataFrame, *, width: int = 64) -> DataFrame:
     """(node_id, descendant_id, distance) for every descendant of the nodes in ``of`` (column node_id).
 
     A range join on the nested set, blocked by root and by block of the preorder: each asked range is cut into
-    the blocks it meets, each node lies in one.  Nodes on cycles have none.
+    the blocks it meets, each node lies in one.  A range covers its blocks but for two whole, so no more than
+    ``2 width`` rows a node are looked at in vain.  Nodes on cycles have none.
     """
     block: callable = lambda c: F.floor(F.col(c) / width)
     asked = (

@@ -150,3 +150,26 @@ SQL = {
     "federated_impact": f"""with f as ({_reach("select distinct id as node_id from nodes where kind = 'route' and root = 'ledger-hub'", 'src', 'dst', 3, _E + " union select a, b, 'bridge' from (" + _BRIDGE + ")")})
   select f.node_id, f.distance, r.root from f left join (select id, min(root) root from nodes group by id) r on r.id = f.node_id""",
 }
+
+
+def components_sql(links: str) -> str:
+    """node_id and the least name of its component, over links (src, dst)."""
+    return f"""with recursive k as (select distinct src, dst from ({links}) where src is not null and dst is not null), e as materialized (select src as a, dst as b from k union select dst, src from k),
+  cc(node_id, component) using key (node_id) as (select a, least(a, min(b)) from e group by a
+    union select e.a, min(u.component) from cc u join e on e.b = u.node_id join recurring.cc as cur on cur.node_id = e.a where u.component < cur.component group by e.a)
+  select node_id, component from cc"""
+
+
+SQL["components"] = components_sql(_E)
+_FROM_TOP = _reach(_TOP_OUT, "src", "dst", 6).replace(" having min(distance) > 0", "")
+SQL["shortest_paths"] = f"""with recursive d as materialized ({_FROM_TOP}), l as materialized (select distinct src, dst from ({_E})),
+  v as (select b.node_id, min(l.src) as via from d b join l on l.dst = b.node_id join d a on a.node_id = l.src and a.distance = b.distance - 1 group by b.node_id),
+  p as (select node_id, node_id as path from d where distance = 0 union all select v.node_id, p.path || ' > ' || v.node_id from p join v on v.via = p.node_id)
+  select p.node_id, d.distance as hops, p.path from p join d using (node_id) where p.node_id in (select id from nodes where kind = 'route')"""
+SQL["seed_expansion"] = """with e as (select src as a, dst as b from edges where src is not null and dst is not null and rel is not null union select dst, src from edges where src is not null and dst is not null and rel is not null),
+  s as (select distinct id as seed from nodes where kind = 'file' and lang = 'go'),
+  h1 as (select seed, b, row_number() over (partition by seed order by b) as k from (select distinct seed, b from s join e on e.a = s.seed where b <> seed)),
+  l1 as (select seed, b from h1 where k <= 199), c as (select seed, 199 - count(*) as room from l1 group by seed),
+  h2 as (select seed, b, row_number() over (partition by seed order by b) as k from (select distinct l1.seed, e.b from l1 join e on e.a = l1.b where e.b <> l1.seed) x where not exists (select 1 from l1 y where y.seed = x.seed and y.b = x.b)),
+  r as (select seed as node_id, 0 as d from s union all select b, 1 from l1 union all select h2.b, 2 from h2 join c using (seed) where h2.k <= c.room)
+  select node_id, min(d) as distance, cast(pow(0.5, min(d)) as double) as rank from r group by node_id"""

@@ -210,3 +210,5 @@ SQL = {
     "file_category": r"""select case when regexp_matches(file, '(^|/)(tests?|__tests__|spec)/|\.(test|spec)\.[a-z]+$') then 'tests' when regexp_matches(file, '(^|/)fixtures?/') then 'fixtures' else 'project' end as category, count(*) as n
   from (select distinct file from nodes where kind = 'file' and file is not null) group by 1""",
 }
+
+SQL["alias_canonical"] = graph_queries.components_sql(f"select subject as src, object as dst from ({_A}) where predicate in ('supersedes', 'derived-from')")

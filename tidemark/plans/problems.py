@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.times import blank, iso_micros
 from tidemark.operators import asof, delivery, hierarchy, late, skew
+from tidemark.runtime import Scratch
 from tidemark.sources import table
 
 
@@ -80,6 +81,13 @@ def p5_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return h.select("node_id", "root_id", "depth", F.coalesce("n_descendants", F.lit(-1)).alias("n_descendants"), F.array_join("path", " > ").alias("path"))
 
 
+def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Of every node above others: how many lie below it, how many directly, and how deep the deepest."""
+    h, _ = Scratch(spark, "nested").put(hierarchy.hierarchy(hierarchy.member_links(table(spark, d, "edges"))).select("node_id", "root_id", "depth", "lo", "hi"), "nested")
+    below = hierarchy.descendants(h, h.select("node_id"))
+    return below.groupBy("node_id").agg(F.count(F.lit(1)).alias("n_descendants"), F.count(F.when(F.col("distance") == 1, 1)).alias("n_children"), F.max("distance").alias("height"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "intelligence_events")
     r = delivery.ranked_copies(e, key=F.col("idempotency_key"), arrived=F.col("recorded_at"), tie=F.col("line_no"))
@@ -128,7 +136,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p2_found": p2_found, "p2_totals": p2_totals, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy,
+    "p1_found": p1_found, "p2_found": p2_found, "p2_totals": p2_totals, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p5_descendants": p5_descendants,
     "p6_found": p6_found, "p6_kept": p6_kept, "p6_batch": p6_batch, "p7_found": p7_found, "p7_stats": p7_stats, "p7_runs": p7_runs,
 }
 
@@ -179,6 +187,11 @@ SQL = {
   select e.id as node_id, coalesce(t.root, 'cycle') as root_id, coalesce(t.depth, -1) as depth,
          coalesce(n.n, -1) as n_descendants, t.path as path
   from e left join t using (id) left join n using (id)""",
+    "p5_descendants": """
+  with recursive l as (select src, min(dst) dst from edges where lower(trim(rel)) = 'member-of' and src is not null and dst is not null group by src),
+  t as (select dst as id from l where dst not in (select src from l) union select l.src from t join l on l.dst = t.id),
+  up as (select l.src as id, l.dst as above, 1 as distance from l where src in (select id from t) union all select up.id, l.dst, up.distance + 1 from up join l on l.src = up.above)
+  select above as node_id, count(*) as n_descendants, count(*) filter (distance = 1) as n_children, max(distance) as height from up group by above""",
     "p6_found": """
   select line_no from (select line_no, row_number() over (partition by idempotency_key order by recorded_at nulls last, line_no) n
     from intelligence_events where trim(coalesce(idempotency_key, '')) <> '') where n > 1""",

@@ -121,3 +121,5 @@ SQL = {
     "ignore_rules": f"select distinct file, {_IGN} as ignored from nodes where file is not null",
     "file_churn": f"select file, count(*) as touches from edges join ({_N}) n on n.id = src group by file",
 }
+
+SQL["redacted_documents"] = r"""select doc_id, md5(case when coalesce(lang, '') in ('binary', 'minified') then null else regexp_replace(text, '(?i)((?:password|secret|api_?key|credential)[a-z_]*\s*[=:]\s*)(?:[^\s,;$][^\s,;]*|\$[^{\s,;][^\s,;]*)', '\1[redacted]', 'g') end) as digest from documents"""
