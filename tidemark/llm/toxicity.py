@@ -41,7 +41,7 @@ FOLDS = 3
 #: Words from which a sentence is also read in windows of ``WINDOW`` words.
 LONG, WINDOW = 16, 12
 #: Weight of the penalty on squared weights, in sentences.
-PENALTY = 0.1
+PENALTY = 0.03
 #: Rounds of expectation maximisation, and how often the categories are fitted again with what was found.
 ROUNDS, PASSES = 20, 2
 #: Belief, before any mark is seen, in how often a mark says yes of a harmless document and no of an offensive one.
