@@ -39,11 +39,10 @@ def offset_chunks(rows: DataFrame, key: list[str], order: list[str], *, chunk_ro
     """
     scratch = Scratch(rows.sparkSession, "chunks")
     p = rows.dropna(subset=key)
-    counts, _ = scratch.put(p.groupBy(*key).agg(F.count(F.lit(1)).alias("_c")), "counts")
     if chunk_rows is None:
-        chunk_rows = chunk_size(counts.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0])
-    heavy = counts.filter(F.col("_c") > chunk_rows)
-    n_heavy, n_busy = heavy.agg(F.count(F.lit(1)), F.coalesce(F.sum("_c"), F.lit(0))).first()
+        chunk_rows = chunk_size(p.select(*key).count())
+    heavy, n_heavy = scratch.put(p.groupBy(*key).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > chunk_rows), "heavy")
+    n_busy = heavy.agg(F.sum("_c")).first()[0]
     if not n_heavy:
         return p.withColumn("_n", F.lit(None).cast("bigint")).withColumn("_chunk", F.lit(0).cast("bigint"))
     heavy = heavy.select(*key)
