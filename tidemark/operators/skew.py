@@ -48,10 +48,12 @@ def offset_chunks(rows: DataFrame, key: list[str], order: list[str], *, chunk_ro
     heavy = heavy.select(*key)
     few = F.broadcast(heavy) if n_heavy <= BROADCAST_KEYS else heavy
     quiet = p.join(few, key, "left_anti").withColumn("_n", F.lit(None).cast("bigint"))
-    line = [*key, *[F.col(c).asc_nulls_first() for c in order]]
+    line = [F.col(c).asc_nulls_first() for c in order]
     # rows that are equal throughout are told apart, so that they too may be cut
     busy = p.join(few, key, "left_semi").withColumn("_tie", F.monotonically_increasing_id())
-    spread = busy.repartitionByRange(-(-n_busy // chunk_rows), *line, "_tie").sortWithinPartitions(*line, "_tie").drop("_tie")
+    # ranges are found over a digest of the key, as what is sampled for them goes to the driver
+    digest = F.xxhash64(*key)
+    spread = busy.repartitionByRange(-(-n_busy // chunk_rows), digest, *line, "_tie").sortWithinPartitions(digest, *key, *line, "_tie").drop("_tie")
     spread = spread.withColumn("_in", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     spread, _ = scratch.put(spread, "busy")
     inside, n_inside = scratch.put(spread.groupBy(*key, "_in").agg(F.count(F.lit(1)).alias("_c"), F.min("_at").alias("_first")), "inside")
