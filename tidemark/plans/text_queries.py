@@ -11,6 +11,9 @@ from tidemark.sources import table
 #: The stated queries of the ranking operators.
 STATED = {"q1": "why is the lease export blocked", "q2": "digest changed after replay", "q3": "rejected alternative memory cost", "q4": "child process killed outage", "q5": "customer asked premium charter export"}
 
+#: What kind of document each of them asks for.
+WANTED = {"q1": "review-thread", "q2": "memory-claim", "q3": "decision", "q4": "checkpoint", "q5": "intake"}
+
 
 def _queries(spark):
     q = spark.createDataFrame(list(STATED.items()), "query_id string, q string")
@@ -57,7 +60,8 @@ def cosine_topk(spark, d):
 
 def retrieval_metrics(spark, d):
     docs = table(spark, d, "documents")
-    relevant = docs.filter("doc_kind = 'decision'").select("doc_id").crossJoin(F.broadcast(_queries(spark).select("query_id").distinct()))  # five queries
+    kinds = spark.createDataFrame(list(WANTED.items()), "query_id string, doc_kind string")
+    relevant = docs.join(F.broadcast(kinds), "doc_kind").select("query_id", "doc_id")  # the stated queries
     return retrieval.ranking_metrics(bm25_topk(spark, d), relevant)
 
 
@@ -147,6 +151,7 @@ _QUERY = "case " + " ".join(f"when length(asked) % {len(QUESTIONS)} = {i} then '
 _ACTION = " or ".join(f"(contains(lower(q), '{s}') and contains(lower(coalesce(name, '')), '{s}'))" for s in retrieval.ACTION_STEMS)
 _INTENT = "case " + " ".join(f"when regexp_matches(lower(q), '{p}') then '{n}'" for n, p in retrieval.INTENTS) + " else 'unknown' end"
 _PRIOR = "case " + " ".join(f"when intent = '{i}' and kind = '{k}' then {v}" for i, kinds in retrieval.KIND_PRIOR.items() for k, v in kinds.items()) + " else 1.0 end"
+_WANTED = ", ".join(f"('{q}', '{k}')" for q, k in WANTED.items())
 
 SQL = {
     "bm25_topk": _BM25,
@@ -171,10 +176,10 @@ SQL = {
     "cosine_topk": """with s as (select q.vec_id as query_id, e.vec_id as near, round(list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])), 6) as cosine
     from embeddings q, embeddings e where q.vec_id % 50 = 0 and q.vec_id <> e.vec_id)
   select * from (select *, row_number() over (partition by query_id order by cosine desc, near) as rank from s) where rank <= 5""",
-    "retrieval_metrics": f"""with r as ({_BM25}), rel as (select doc_id from documents where doc_kind = 'decision'), q as (select distinct query_id from ({_Q})), c as (select count(*) n from rel),
-  h as (select query_id, count(*) h, min(rank) first, sum(1 / log2(rank + 1)) dcg from r where doc_id in (select doc_id from rel) group by 1)
-  select q.query_id, c.n as n_relevant, round(coalesce(h, 0) / c.n, 6) as recall, round(coalesce(h, 0) / 10, 6) as precision, round(coalesce(1.0 / first, 0), 6) as mrr,
-    round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(c.n, 10) + 1), lambda i: 1 / log2(i + 1))), 6) as ndcg from q cross join c left join h using (query_id)""",
+    "retrieval_metrics": f"""with r as ({_BM25}), w as (select * from (values {_WANTED}) t(query_id, doc_kind)), rel as (select query_id, doc_id from documents join w using (doc_kind)), c as (select query_id, count(*) n from rel group by 1),
+  h as (select query_id, count(*) h, min(rank) first, sum(1 / log2(rank + 1)) dcg from r join rel using (query_id, doc_id) group by 1)
+  select query_id, c.n as n_relevant, round(coalesce(h, 0) / c.n, 6) as recall, round(coalesce(h, 0) / 10, 6) as precision, round(coalesce(1.0 / first, 0), 6) as mrr,
+    round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(c.n, 10) + 1), lambda i: 1 / log2(i + 1))), 6) as ndcg from c left join h using (query_id)""",
     "token_budget": """select source, doc_id, used from (select source, doc_id, cast(sum(coalesce(cast(ceil(length(text) / 4) as bigint), 0)) over (partition by source order by doc_id rows unbounded preceding) as bigint) as used from documents) where used <= 2000""",
     "exact_name": _EXACT,
     "structural_rerank": f"""with h as (select asked as query_id, {_QUERY} as q, x.id, rank, degree, kind, name from ({_EXACT}) x join ({_NODES1}) n using (id)), i as (select *, {_INTENT} as intent from h)
