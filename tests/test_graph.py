@@ -90,6 +90,30 @@ def test_expansion_runs_from_every_seed_where_seeds_exceed_the_bound(spark):
     assert len(got) == 501 and got["s249"] == (0, 1.0) and got["t249"] == (1, 0.5) and got["u"] == (2, 0.25)
 
 
+def test_expansion_passes_hubs_without_pairs_of_seeds_and_neighbours(spark, monkeypatch):
+    # some seeds have seen the hub's least neighbours, some have no room after a hop; edges repeat
+    links = [("hub", f"n{i:04d}") for i in range(2000)] + [(f"n{i:04d}", f"n{i + 1:04d}") for i in range(0, 100, 3)] + [("hub", "hub"), ("n1999", "hub")]
+    links += [("n1500", f"a{i:02d}") for i in range(40)] + [("n1600", f"n{i:04d}") for i in range(12)]
+    e = spark.createDataFrame([(a, b, r, 0.5, "x") for a, b in links for r in ("calls", "imports")], E)
+    names, bound, sizes, kept = [f"n{i:04d}" for i in [*range(0, 400, 2), 1500, 1600]] + ["hub"], 20, [], G.top_ranked
+    monkeypatch.setattr(G, "top_ranked", lambda df, *a: sizes.append(df.count()) or kept(df, *a))
+    seeds = spark.createDataFrame([(s, 1.0 + (i % 3)) for i, s in enumerate(names)], "node_id string, score double")
+    got = {(r.node_id, r.distance, r.rank) for r in G.expand_from_seeds(e, seeds, max_nodes=bound).collect()}
+    assert len(sizes) == 2 and max(sizes) <= len(names) * bound * 2
+    near, best = {}, {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for i, s in enumerate(names):
+        seen = {s: 0}
+        for h in (1, 2):
+            new = sorted({b for a, d in seen.items() if d == h - 1 for b in near[a]} - seen.keys())
+            seen |= dict.fromkeys(new[: bound - len(seen)], h)
+        for v, d in seen.items():
+            best[v] = max(best.get(v, (-9, 0)), (-d, (1.0 + i % 3) * 0.5**d))
+    assert got == {(v, -d, rank) for v, (d, rank) in best.items()}
+
+
 def test_route_bridge_has_no_square_of_pairs(spark):
     rows = [(f"r{i}", "one", "route", "get", "/a/{id}?q=1") for i in range(20)] + [(f"s{i}", "two", "route", "GET", "/a/:key/") for i in range(20)] + [("t", "one", "route", None, "/b"), ("u", "two", "symbol", "GET", "/b")]
     n = spark.createDataFrame(rows, "id string, root string, kind string, http_method string, route_path string")

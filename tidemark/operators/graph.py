@@ -273,20 +273,27 @@ def expand_from_seeds(edges: DataFrame, seeds: DataFrame, *, hops: int = 2, max_
     ``seeds``: node_id, score.  Each seed expands on its own to at most ``max_nodes`` nodes, itself among them, so
     no seed is cut for another's sake.  Where the bound cuts a level, the least ids stay.  A node keeps its least
     distance from any seed, and of that the best rank.
+
+    A seed takes at most its room, ``max_nodes`` less what it has seen, so a neighbour that it takes stands behind
+    fewer than ``max_nodes`` other neighbours of the same node: those seen, and those that it takes as well.  Each
+    node therefore offers its ``max_nodes`` least neighbours, and nothing is lost.
     """
     scratch = Scratch(edges.sparkSession, "expand")
-    e = edges.filter("rel is not null").select("src", "dst").dropna()  # repeats go with the aggregation of each hop
+    e = edges.filter("rel is not null").select("src", "dst").dropna()
     e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    # dense ranks bear repeats, so hubs are cut before the shuffle, and the distinct needs none of its own
+    e = e.withColumn("_at", F.dense_rank().over(Window.partitionBy("src").orderBy("dst"))).filter(F.col("_at") <= max_nodes).select("src", "dst").distinct()
     level = seeds.groupBy("node_id").agg(F.max("score").alias("rank")).select(F.col("node_id").alias("seed"), "node_id", F.lit(0).alias("distance"), "rank")
     frontier, n = scratch.put(level, "hop-0")
     seen = frontier
     for h in range(1, hops + 1):
         if not n:
             break
-        near = frontier.select("seed", F.col("node_id").alias("src"), "rank")
-        step = e.join(near, "src").groupBy("seed", F.col("dst").alias("node_id")).agg((F.max("rank") * decay).alias("rank")).join(seen.select("seed", "node_id"), ["seed", "node_id"], "left_anti")
-        room = seen.groupBy("seed").agg((max_nodes - F.count(F.lit(1))).alias("_room"))
-        step = top_ranked(step, ["seed"], [F.col("node_id")], max_nodes, "_at").join(room, "seed").filter("_at <= _room")
+        room = seen.groupBy("seed").agg((max_nodes - F.count(F.lit(1))).alias("_room")).filter("_room > 0")
+        near = frontier.select("seed", F.col("node_id").alias("src"), "rank").join(room, "seed")
+        step = e.join(near, "src").groupBy("seed", F.col("dst").alias("node_id")).agg((F.max("rank") * decay).alias("rank"), F.first("_room").alias("_room"))
+        step = step.join(seen.select("seed", "node_id"), ["seed", "node_id"], "left_anti")
+        step = top_ranked(step, ["seed"], [F.col("node_id")], max_nodes, "_at").filter("_at <= _room")
         frontier, n = scratch.put(step.select("seed", "node_id", F.lit(h).alias("distance"), "rank"), f"hop-{h}")
         seen = seen.unionByName(frontier)
     best = seen.groupBy("node_id").agg(F.max(F.struct((-F.col("distance")).alias("d"), "rank")).alias("b"))
